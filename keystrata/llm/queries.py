@@ -38,6 +38,12 @@ def op6_media(spark, sf_dir):
     return media.read_media(media.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op7_jaccard(spark, sf_dir):
+    from . import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark, sf_dir):
     from . import packing
 
@@ -45,7 +51,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op6_media, op10_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op6_media, op7_jaccard, op10_packing)}
 
 
 def oracle_sql():
