@@ -44,6 +44,14 @@ def op7_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op10_packing(spark, sf_dir):
     from . import packing
 
@@ -51,7 +59,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op6_media, op7_jaccard, op10_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op6_media, op7_jaccard, op8_toxicity, op10_packing)}
 
 
 def oracle_sql():
