@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts
+from .common import checkpoint, saved, texts
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Sketch of 2**BITS buckets in RANGES rows; at most 2 bytes a bucket are broadcast.
 BITS, RANGES = 22, 64
-MAX_MATCH, FEW, STARS = 4, 8, 2
+MAX_MATCH, FEW, STARS = 4, 8, 1
 FILTER_WORDS = 1 << 17
 
 
@@ -191,12 +191,21 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     class_id (equal sets)."""
     sc = docs.sparkSession.sparkContext
     counts = sc.broadcast(sketch(docs))
-    sig = checkpoint(signatures(docs, counts, num, den))
-    classes = sig.filter("n > 0 and doc_id is not null").groupBy("cid", "cid2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
-    posts = classes.select("cid", "rep", (F.col("n") * 8 + F.col("m")).alias("nm"), F.explode("prefix").alias("t"))
-    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("t"))).filter("df > 1")
-    posts = checkpoint(posts.select("t", "cid", "rep", F.expr("nm div 8").alias("n"), F.expr("cast(nm % 8 as int)").alias("m"), "df"))
-    sets = checkpoint(sets_of(docs, posts.select(F.col("rep").alias("doc_id"))))
+    sig = saved(signatures(docs, counts, num, den))
+    members = sig.select("doc_id", "n", "cid", "cid2")
+    reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
+    posts = sig.filter("n > 0 and doc_id is not null").select("cid", (F.col("n") * 8 + F.col("m")).alias("nm"), F.explode("prefix").alias("t"))
+    # one exchange by shingle serves all of this: those of a single class go, copies fall together
+    w = Window.partitionBy("t")
+    posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other").groupBy("t", "cid").agg(F.first("nm").alias("nm")).withColumn("df", F.count("*").over(w))
+    posts = saved(posts.select("t", "cid", F.expr("nm div 8").alias("n"), F.expr("cast(nm % 8 as int)").alias("m"), "df"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The links among `pairs`; the sets of the classes in them are made anew."""
+        pairs = saved(pairs)
+        nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(reps, "cid").select(F.col("rep").alias("doc_id"))
+        return saved(verify(pairs, sets_of(docs, wanted), num, den))
 
     few, many = posts.filter(F.col("df") <= FEW), posts.filter(F.col("df") > FEW)
     heavy = many.groupBy("cid").agg(F.count("*").alias("heavy"))
@@ -227,7 +236,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
             x = x.filter(F.col("p.comp") != F.col("comp"))
         return x.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
 
-    edges = checkpoint(verify(p.union(stars(many, 0)).distinct(), sets, num, den))
+    edges = confirm(p.union(stars(many, 0)).distinct())
     labels = checkpoint(components(edges))
     if not many.isEmpty():
         def labelled():
@@ -236,7 +245,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
             return x.join(mixed, "t", "left_semi")
 
         for r in range(1, STARS + 1):
-            found = checkpoint(verify(stars(labelled(), r), sets, num, den))
+            found = confirm(stars(labelled(), r))
             if not found.isEmpty():
                 edges = edges.union(found)
                 labels = checkpoint(components(edges))
@@ -244,13 +253,12 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         light = few.groupBy("cid").agg(F.count("*").alias("light"))
         p = pairs(labelled()).join(light.select(F.col("cid").alias("a"), F.col("light").alias("la")), "a", "left").join(light.select(F.col("cid").alias("b"), F.col("light").alias("lb")), "b", "left")
         p = p.filter(F.col("k") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= F.col("m")).select("a", "b")
-        found = checkpoint(verify(p, sets, num, den))
+        found = confirm(p)
         if not found.isEmpty():
             edges = edges.union(found)
             labels = checkpoint(components(edges))
 
-    members = sig.select("doc_id", "n", "cid", "cid2")
-    reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    reps = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     roots = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = reps.join(roots, "root").select("cid", "component_id")
     # copies of one class may be a large part of all rows: they meet the class in salted rows
