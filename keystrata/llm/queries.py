@@ -32,6 +32,12 @@ def op4_pieces(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), model_path("piece_bpe_32k.model"), digest=True)
 
 
+def op5_secrets(spark, sf_dir):
+    from . import secrets
+
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op6_media(spark, sf_dir):
     from . import media
 
@@ -59,7 +65,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op6_media, op7_jaccard, op8_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op5_secrets, op6_media, op7_jaccard, op8_toxicity, op10_packing)}
 
 
 def oracle_sql():
