@@ -26,6 +26,12 @@ def op2_urls(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), urlfilter.rules_frame(spark))
 
 
+def op3_chat(spark, sf_dir):
+    from . import toolcalls
+
+    return toolcalls.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_pieces(spark, sf_dir):
     from . import pieces
 
@@ -58,14 +64,27 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op9_wrappers(spark, sf_dir):
+    from . import wrappers
+
+    return wrappers.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_packing(spark, sf_dir):
     from . import packing
 
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model_path("byte_bpe_50k.json"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_topk, op2_urls, op4_pieces, op5_secrets, op6_media, op7_jaccard, op8_toxicity, op10_packing)}
+    own = (op1_topk, op2_urls, op3_chat, op4_pieces, op5_secrets, op6_media, op7_jaccard, op8_toxicity, op9_wrappers, op10_packing, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql():
