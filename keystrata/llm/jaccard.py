@@ -38,7 +38,8 @@ from .common import checkpoint, saved, texts
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Sketch of 2**BITS buckets in RANGES rows; at most 2 bytes a bucket are broadcast.
 BITS, RANGES = 22, 64
-MAX_MATCH, FEW, STARS = 4, 8, 1
+MATCHES, FEW, STARS = (1, 2, 3, 4, 6, 8, 12, 16), 8, 2
+POSTING = 64.0  # cost of one posting, in candidates met
 FILTER_WORDS = 1 << 17
 
 
@@ -100,16 +101,19 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(h: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+def prefix(h: np.ndarray, counts: np.ndarray, floor: float, num: int, den: int) -> tuple[np.ndarray, int]:
     """The prefix of least estimated cost and the number of matches it asks for."""
     c = counts[h >> np.uint64(64 - BITS)]
     order = np.lexsort((h, c))
-    least, cost = need(len(h), num, den), np.cumsum(c[order].astype(np.float64))
+    least = need(len(h), num, den)
+    met = np.cumsum(np.maximum(c[order].astype(np.float64) - 3 * floor, 0))  # without chance hits of a bucket
     best, match = None, 1
-    for m in range(1, min(MAX_MATCH, least) + 1):
-        total = cost[len(h) - least + m - 1]
-        # postings read, and classes met at least m times, each verified on its whole set
-        price = total + total / m * len(h) / 8
+    for m in MATCHES:
+        if m > least:
+            break
+        size = len(h) - least + m
+        # postings and classes met by them, and classes met at least m times, each verified on its whole set
+        price = POSTING * size + met[size - 1] * (1 + len(h) / (4 * m))
         if best is None or price < best:
             best, match = price, m
     return h[order[:len(h) - least + match]], match
@@ -120,13 +124,14 @@ def signatures(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
 
     def run(batches):
         table = counts.value
+        floor = float(table.mean())
         for b in batches:
             keys, it = texts(b)
             out = [[], [], [], [], []]
             for s in it:
                 h = shingles(s)
                 d = xxhash.xxh3_128_intdigest(h.tobytes())
-                p, m = prefix(h, table, num, den) if len(h) else (h, 0)
+                p, m = prefix(h, table, floor, num, den) if len(h) else (h, 0)
                 for x, v in zip(out, (len(h), np.int64(np.uint64(d & (2**64 - 1)).view(np.int64)), np.int64(np.uint64(d >> 64).view(np.int64)), m, p.view(np.int64))):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], ["doc_id", "n", "cid", "cid2", "m", "prefix"])
@@ -194,11 +199,11 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     sig = saved(signatures(docs, counts, num, den))
     members = sig.select("doc_id", "n", "cid", "cid2")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    posts = sig.filter("n > 0 and doc_id is not null").select("cid", (F.col("n") * 8 + F.col("m")).alias("nm"), F.explode("prefix").alias("t"))
+    posts = sig.filter("n > 0 and doc_id is not null").select("cid", (F.col("n") * 64 + F.col("m")).alias("nm"), F.explode("prefix").alias("t"))
     # one exchange by shingle serves all of this: those of a single class go, copies fall together
     w = Window.partitionBy("t")
     posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other").groupBy("t", "cid").agg(F.first("nm").alias("nm")).withColumn("df", F.count("*").over(w))
-    posts = saved(posts.select("t", "cid", F.expr("nm div 8").alias("n"), F.expr("cast(nm % 8 as int)").alias("m"), "df"))
+    posts = saved(posts.select("t", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among `pairs`; the sets of the classes in them are made anew."""
@@ -221,17 +226,29 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         p = x.join(y, "t").filter("a < b").filter(fits(F.col("na"), F.col("nb")))
         for c in extra:
             p = p.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
-        return p.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("m"))
+        return p.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("k"))
+
+    def may_link(p: DataFrame, grant) -> DataFrame:
+        """Keeps pairs that may reach the similarity, having k + `grant` common prefix shingles
+        at most: the shorter prefix in shingle order misses only what lies beyond it."""
+        k = F.col("k") + grant
+        least = [F.expr(f"(n{x} * {num} + {den - 1}) div {den} - m{x}") for x in "ab"]
+        both = F.expr(f"((na + nb) * {num} + {num + den - 1}) div {num + den}")
+        return p.filter((k >= F.least("ma", "mb")) & (k + F.greatest(*least) >= both)).select("a", "b")
 
     p = pairs(few)
     # shared heavy shingles are not counted here, so as many as both have are granted
     p = p.join(heavy.select(F.col("cid").alias("a"), F.col("heavy").alias("ha")), "a", "left").join(heavy.select(F.col("cid").alias("b"), F.col("heavy").alias("hb")), "b", "left")
-    p = p.filter(F.col("k") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("m")).select("a", "b")
+    p = may_link(p, F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
 
     def stars(x: DataFrame, salt: int) -> DataFrame:
-        w = Window.partitionBy("t")
-        me = F.struct(F.xxhash64("cid", F.lit(salt)).alias("h"), *(F.col(c) for c in x.columns if c in ("cid", "n", "comp")))
-        x = x.withColumn("p", F.min(me).over(w)).filter(F.col("p.cid") != F.col("cid")).filter(fits(F.col("n"), F.col("p.n")))
+        """Of each shingle, every class with the first and the next one in a salted order."""
+        w = Window.partitionBy("t").orderBy("h", "cid")
+        me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "comp")))
+        x = x.withColumn("h", F.xxhash64("cid", F.lit(salt))).withColumn("me", me)
+        x = x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
+        x = x.select("cid", "n", *(c for c in x.columns if c == "comp"), F.explode("near").alias("p"))
+        x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(F.col("n"), F.col("p.n")))
         if "comp" in x.columns:
             x = x.filter(F.col("p.comp") != F.col("comp"))
         return x.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
@@ -252,7 +269,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         # shared light shingles are not counted here: grant as many as both have
         light = few.groupBy("cid").agg(F.count("*").alias("light"))
         p = pairs(labelled()).join(light.select(F.col("cid").alias("a"), F.col("light").alias("la")), "a", "left").join(light.select(F.col("cid").alias("b"), F.col("light").alias("lb")), "b", "left")
-        p = p.filter(F.col("k") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= F.col("m")).select("a", "b")
+        p = may_link(p, F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))))
         found = confirm(p)
         if not found.isEmpty():
             edges = edges.union(found)
