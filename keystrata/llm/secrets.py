@@ -63,34 +63,55 @@ def _upper_tail(z):
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def tested(token):
-    """struct(encoding, n, p) of a token column, p the combined p-value of randomness."""
-    body = F.regexp_replace(token, "=+$", "")
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    which = F.when(~mixed, F.lit(None).cast("int"))
-    for i, (_, pattern, _) in enumerate(ENCODINGS):
-        which = which.when(body.rlike(pattern), F.lit(i))
-    alphabet = F.element_at(F.array(*(F.lit(a) for *_, a in ENCODINGS)), which + 1)
-    name = F.element_at(F.array(*(F.lit(e[0]) for e in ENCODINGS)), which + 1)
-    n, k = F.char_length(body).cast("double"), F.char_length(alphabet).cast("double")
-    counts = F.transform(F.split(alphabet, ""), lambda c: n - F.char_length(F.replace(body, c, F.lit(""))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi, df = k / n * squares - n, k - 1
-    p_chi = _upper_tail((F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-    halves = F.call_function("translate", body, F.substring(alphabet, F.lit(1), (k / 2).cast("int")), F.repeat(F.lit("~"), (k / 2).cast("int")))
-    halves = F.regexp_replace(F.regexp_replace(halves, "[^~]", "1"), "~", "0")
-    ones = n - F.char_length(F.replace(halves, F.lit("1"), F.lit("")))
-    zeros = n - ones
-    turns = (n - F.char_length(F.replace(halves, F.lit("01"), F.lit("")))) / 2 + (n - F.char_length(F.replace(halves, F.lit("10"), F.lit("")))) / 2
-    mean = 2 * ones * zeros / n + 1
-    var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    p_runs = F.when((ones == 0) | (zeros == 0), F.pow(F.lit(0.5), n - 1)).otherwise(2 * _upper_tail(F.abs(turns + 1 - mean) / F.sqrt(var)))
-    values = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c) - (k + 1) / 2)
-    products = F.aggregate(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    power = F.greatest(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x), F.lit(1e-9))
-    p_serial = 2 * _upper_tail(F.abs(products / power) * F.sqrt(n))
-    p = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
-    return F.when(which.isNotNull(), F.struct(name.alias("encoding"), n.cast("long").alias("n"), p.alias("p"), (n * F.log2(k)).alias("bits")))
+def tested(tokens):
+    """array of struct(start, kind, end, r = struct(encoding, n, p, bits)) of the tokens that
+    have an encoding; p is the combined p-value of randomness.  Each step's values are
+    fields of the next one's elements, so that no expression is repeated."""
+
+    def more(array, **fields):
+        def put(x):
+            return F.struct(*(x[c].alias(c) for c in keep), *(f(x).alias(n) for n, f in fields.items()))
+
+        out = F.transform(array, put)
+        keep.extend(fields)
+        return out
+
+    def encoding(x):
+        which = F.when(~(x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]")), F.lit(None).cast("int"))
+        for i, (_, pattern, _) in enumerate(ENCODINGS):
+            which = which.when(x["body"].rlike(pattern), F.lit(i))
+        return which
+
+    def squares(x):
+        counts = F.transform(F.split(x["alphabet"], ""), lambda c: x["n"] - F.char_length(F.replace(x["body"], c, F.lit(""))))
+        return F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+
+    def halves(x):
+        half = (x["k"] / 2).cast("int")
+        low = F.call_function("translate", x["body"], F.substring(x["alphabet"], F.lit(1), half), F.repeat(F.lit("~"), half))
+        return F.regexp_replace(F.regexp_replace(low, "[^~]", "1"), "~", "0")
+
+    def without(x, part):
+        return (x["n"] - F.char_length(F.replace(x["bits"], F.lit(part), F.lit("")))) / len(part)
+
+    def products(x):
+        near = F.zip_with(F.slice(x["values"], 1, F.size(x["values"]) - 1), F.slice(x["values"], 2, F.size(x["values"]) - 1), lambda a, b: a * b)
+        return F.aggregate(near, F.lit(0.0), lambda a, v: a + v)
+
+    keep = ["start", "kind", "end", "s"]
+    x = more(tokens, body=lambda x: F.regexp_replace(x["s"], "=+$", ""))
+    x = F.filter(more(x, which=encoding), lambda x: x["which"].isNotNull())
+    x = more(x, alphabet=lambda x: F.element_at(F.array(*(F.lit(a) for *_, a in ENCODINGS)), x["which"] + 1), n=lambda x: F.char_length(x["body"]).cast("double"))
+    x = more(x, k=lambda x: F.char_length(x["alphabet"]).cast("double"), squares=squares)
+    x = more(x, bits=halves, df=lambda x: x["k"] - 1, chi=lambda x: x["k"] / x["n"] * x["squares"] - x["n"], values=lambda x: F.transform(F.split(x["body"], ""), lambda c: F.instr(x["alphabet"], c) - (x["k"] + 1) / 2))
+    x = more(x, ones=lambda x: without(x, "1"), runs=lambda x: without(x, "01") + without(x, "10") + 1, products=products, power=lambda x: F.greatest(F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v * v), F.lit(1e-9)))
+    keep.remove("values")
+    x = more(x, mean=lambda x: 2 * x["ones"] * (x["n"] - x["ones"]) / x["n"] + 1)
+    x = more(x, z_chi=lambda x: (F.cbrt(x["chi"] / x["df"]) - (1 - 2 / (9 * x["df"]))) / F.sqrt(2 / (9 * x["df"])), z_runs=lambda x: F.abs(x["runs"] - x["mean"]) / F.sqrt(F.greatest((x["mean"] - 1) * (x["mean"] - 2) / (x["n"] - 1), F.lit(1e-9))), z_serial=lambda x: F.abs(x["products"] / x["power"]) * F.sqrt(x["n"]))
+    one_side = lambda x: (x["ones"] == 0) | (x["ones"] == x["n"])
+    x = more(x, p_chi=lambda x: _upper_tail(x["z_chi"]), p_runs=lambda x: F.when(one_side(x), F.pow(F.lit(0.5), x["n"] - 1)).otherwise(2 * _upper_tail(x["z_runs"])), p_serial=lambda x: 2 * _upper_tail(x["z_serial"]))
+    names = F.array(*(F.lit(e[0]) for e in ENCODINGS))
+    return F.transform(x, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.struct(F.element_at(names, x["which"] + 1).alias("encoding"), x["n"].cast("long").alias("n"), F.least(F.lit(1.0), 3 * F.least(x["p_chi"], x["p_runs"], x["p_serial"])).alias("p"), (x["n"] * F.log2(x["k"])).alias("bits")).alias("r")))
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -102,7 +123,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # a token is tested where no base span meets it
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     plain = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    cand = F.filter(F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"), tested(t["s"]).alias("r"))), lambda x: x["r"].isNotNull())
+    cand = tested(free)
     rows = saved(src.select("doc_id", *keep, F.array_sort(plain("base")).alias("base"), cand.alias("cand")))
 
     def length_class(n):
