@@ -264,16 +264,14 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         for r in range(1, STARS + 1):
             found = confirm(stars(labelled(), r))
             if not found.isEmpty():
-                edges = edges.union(found)
-                labels = checkpoint(components(edges))
+                labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
         # shared light shingles are not counted here: grant as many as both have
         light = few.groupBy("cid").agg(F.count("*").alias("light"))
         p = pairs(labelled()).join(light.select(F.col("cid").alias("a"), F.col("light").alias("la")), "a", "left").join(light.select(F.col("cid").alias("b"), F.col("light").alias("lb")), "b", "left")
         p = may_link(p, F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))))
         found = confirm(p)
         if not found.isEmpty():
-            edges = edges.union(found)
-            labels = checkpoint(components(edges))
+            labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
 
     reps = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     roots = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
