@@ -38,7 +38,7 @@ from .common import checkpoint, saved, texts
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Sketch of 2**BITS buckets in RANGES rows; at most 2 bytes a bucket are broadcast.
 BITS, RANGES = 22, 64
-MATCHES, FEW, STARS = (1, 2, 3, 4, 6, 8, 12, 16), 8, 2
+MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 2
 POSTING = 64.0  # cost of one posting, in candidates met
 FILTER_WORDS = 1 << 17
 
@@ -199,11 +199,13 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     sig = saved(signatures(docs, counts, num, den))
     members = sig.select("doc_id", "n", "cid", "cid2")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    posts = sig.filter("n > 0 and doc_id is not null").select("cid", (F.col("n") * 64 + F.col("m")).alias("nm"), F.explode("prefix").alias("t"))
+    posts = sig.filter("n > 0 and doc_id is not null").select("cid", (F.col("n") * 64 + F.col("m")).alias("nm"), F.posexplode("prefix").alias("pos", "t"))
     # one exchange by shingle serves all of this: those of a single class go, copies fall together
     w = Window.partitionBy("t")
-    posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other").groupBy("t", "cid").agg(F.first("nm").alias("nm")).withColumn("df", F.count("*").over(w))
-    posts = saved(posts.select("t", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df"))
+    posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other").groupBy("t", "cid").agg(F.first("nm").alias("nm"), F.first("pos").alias("pos")).withColumn("df", F.count("*").over(w))
+    # `seen`: shingles before this one that any other class has; only they can be common
+    posts = posts.withColumn("seen", F.row_number().over(Window.partitionBy("cid").orderBy("pos")) - 1)
+    posts = saved(posts.select("t", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df", "pos", "seen"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among `pairs`; the sets of the classes in them are made anew."""
@@ -215,15 +217,19 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     few, many = posts.filter(F.col("df") <= FEW), posts.filter(F.col("df") > FEW)
     heavy = many.groupBy("cid").agg(F.count("*").alias("heavy"))
 
-    def fits(a, b):
-        return (F.least(a, b) * den >= F.greatest(a, b) * num)
+    def fits(a: dict, b: dict):
+        """Sizes allow the similarity, and so does this common shingle's place: at most the
+        seen ones before it, itself and what follows it are common."""
+        both = F.floor(((a["n"] + b["n"]) * num + (num + den - 1)) / F.lit(num + den))
+        place = F.least(a["seen"], b["seen"]) + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= both
+        return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & place
 
     def pairs(left: DataFrame) -> DataFrame:
         """All pairs of classes of one shingle, with what they need and have."""
         extra = [c for c in ("comp",) if c in left.columns]
-        x = left.select("t", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), *(F.col(c).alias(f"{c}_a") for c in extra))
-        y = left.select("t", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), *(F.col(c).alias(f"{c}_b") for c in extra))
-        p = x.join(y, "t").filter("a < b").filter(fits(F.col("na"), F.col("nb")))
+        side = lambda q: left.select("t", F.col("cid").alias(q), *(F.col(c).alias(c + q) for c in ("n", "m", "pos", "seen")), *(F.col(c).alias(f"{c}_{q}") for c in extra))
+        place = [{c: F.col(c + q) for c in ("n", "pos", "seen")} for q in "ab"]
+        p = side("a").join(side("b"), "t").filter("a < b").filter(fits(*place))
         for c in extra:
             p = p.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
         return p.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("k"))
@@ -244,11 +250,11 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     def stars(x: DataFrame, salt: int) -> DataFrame:
         """Of each shingle, every class with the first and the next one in a salted order."""
         w = Window.partitionBy("t").orderBy("h", "cid")
-        me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "comp")))
+        me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "pos", "seen", "comp")))
         x = x.withColumn("h", F.xxhash64("cid", F.lit(salt))).withColumn("me", me)
         x = x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
-        x = x.select("cid", "n", *(c for c in x.columns if c == "comp"), F.explode("near").alias("p"))
-        x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(F.col("n"), F.col("p.n")))
+        x = x.select("cid", "n", "pos", "seen", *(c for c in x.columns if c == "comp"), F.explode("near").alias("p"))
+        x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(*({c: F.col(q + c) for c in ("n", "pos", "seen")} for q in ("", "p."))))
         if "comp" in x.columns:
             x = x.filter(F.col("p.comp") != F.col("comp"))
         return x.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
