@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, saved, texts
+from .common import checkpoint, saved, small_batches, texts
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Sketch of 2**BITS buckets in RANGES rows; at most 2 bytes a bucket are broadcast.
@@ -93,7 +93,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in total.values()], pa.binary())], ["r", "c"])
 
     schema = "r int, c binary"
-    rows = docs.select("doc_id", "text").mapInArrow(count, schema).repartition(RANGES, "r").mapInArrow(add, schema).collect()
+    rows = small_batches(docs).select("doc_id", "text").mapInArrow(count, schema).repartition(RANGES, "r").mapInArrow(add, schema).collect()
     out = np.zeros((RANGES, size), np.uint16)
     for r, c in rows:
         x = np.frombuffer(zlib.decompress(c), np.uint16)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small_batches, texts
 
 # Fixed values of the format: kbit/s of MPEG-1 Layer III, and sampling rates
 KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -162,7 +162,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 rows = [(len(s.encode()), store(payload_of(s))) for s in it]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame, digest: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 WINDOW = 1024
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -82,7 +82,7 @@ def tokenise(docs: DataFrame, vocab: str, separator: int = 0, window: int = WIND
                 [pa.array(keys, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())],
                 ["doc_id", "doc_tokens", "crcs", "rest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest binary")
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

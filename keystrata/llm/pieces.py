@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small_batches, texts
 
 SPACE = "▁".encode()
 
@@ -145,4 +145,4 @@ def encode(docs: DataFrame, model: str, digest: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(list(x), k) for x, k in zip(cols, kinds))], ["doc_id", *names])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" if digest else "doc_id long, n_tokens long, ids array<int>, begins array<long>, ends array<long>, text string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

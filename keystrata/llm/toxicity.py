@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
@@ -119,7 +119,7 @@ def probability(found, m: Model) -> float:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_tokens: int = 20_000, min_docs: int = 4) -> Model:
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # at most max_train rows of 12 bytes
+    train = small_batches(docs).select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # at most max_train rows of 12 bytes
 
     def tokens(batches):
         for b in batches:
@@ -184,7 +184,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted, passages (significant ones: word spans, score,
     E-value); with `keep` all columns of `docs` stay and none is replaced but these."""
-    sc = docs.sparkSession.sparkContext
+    sc = small_batches(docs).sparkSession.sparkContext
     held = sc.broadcast(model)  # at most max_tokens short strings
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .urlfilter import host_path
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -243,7 +243,7 @@ def extract(html: str, wrapper: str = "") -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     host = host_path(F.col("url"))[0]
-    src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    src = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     h1, h2 = (F.struct(F.xxhash64("html", F.lit(s)).alias("h"), F.col("html")) for s in (1, 2))
     refs = src.groupBy("host").agg(F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"), F.max(h2).alias("d"))
     refs = refs.select("host", *(F.col(f"{x}.html").alias(x) for x in "abcd"))
