@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .admin import command_table, keys_of
 from .engine import Keyspace
 
-FLUSH = ("FLUSHDB", "FLUSHALL")
+FLUSH, SALTS = ("FLUSHDB", "FLUSHALL"), 64
 REPLY = "seq long, pos int, kind string, int_val long, bulk_val binary, error string"
 STATE = "db int, key binary, value binary, version long, expire_at_ms long, raw boolean"
 
@@ -43,8 +43,10 @@ def _replay(log: DataFrame, emit: str) -> DataFrame:
     work = log.join(of, "seq").select("comp", "seq", "at_ms", "db", "cmd", "args")
     flush = log.filter(F.upper("cmd").isin(*FLUSH))
     if not flush.isEmpty():
-        every = comp.select("comp").distinct().withColumn("one", F.lit(1))
-        work = work.unionByName(every.join(flush.withColumn("one", F.lit(1)), "one").select(*work.columns))
+        # salted on both sides, so that no single key carries all of them
+        every = comp.select("comp").distinct().withColumn("salt", F.pmod(F.xxhash64("comp"), F.lit(SALTS)).cast("int"))
+        spread = flush.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        work = work.unionByName(every.join(spread, "salt").select(*work.columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ks, rows = Keyspace(), []

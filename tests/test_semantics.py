@@ -126,3 +126,21 @@ def test_gates(spark):
     t = admin.command_table(spark)
     assert {x.seq: x.error for x in admin.accepted(log, t).collect()} == {1: None, 2: "ARITY", 3: "UNKNOWN_COMMAND", 4: None}
     assert sorted((x.seq, bytes(x.key)) for x in admin.keys_of(log, t).collect()) == [(1, b"a"), (4, b"a"), (4, b"b")]
+
+
+def test_frames_do_not_depend_on_chunks():
+    from keystrata.sources.wire import Reader
+
+    data = b"*2\r\n$3\r\nGET\r\n$4\r\na\r\nb\r\n\r\n  ping  x\r\n*0\r\n*1\r\n$0\r\n\r\n"
+    want = Reader().feed(data)
+    assert want == [[b"GET", b"a\r\nb"], [b"ping", b"x"], [b""]]
+    r = random.Random(1)
+    for _ in range(50):
+        reader, got, at = Reader(), [], 0
+        while at < len(data):
+            n = r.randrange(1, 7)
+            got += reader.feed(data[at:at + n])
+            at += n
+        assert got == want
+    bad = Reader()
+    assert bad.feed(b"*1\r\n+x\r\n") == [] and bad.error == "EXPECTED_BULK" and bad.feed(b"PING\r\n") == []
