@@ -217,19 +217,22 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     few, many = posts.filter(F.col("df") <= FEW), posts.filter(F.col("df") > FEW)
     heavy = many.groupBy("cid").agg(F.count("*").alias("heavy"))
 
-    def fits(a: dict, b: dict):
+    def fits(a: dict, b: dict, first: bool = False):
         """Sizes allow the similarity, and so does this common shingle's place: at most the
-        seen ones before it, itself and what follows it are common."""
+        seen ones before it (none if it is the pair's first one), itself and what follows it
+        are common."""
         both = F.floor(((a["n"] + b["n"]) * num + (num + den - 1)) / F.lit(num + den))
-        place = F.least(a["seen"], b["seen"]) + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= both
+        before = F.lit(0) if first else F.least(a["seen"], b["seen"])
+        place = before + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= both
         return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & place
 
-    def pairs(left: DataFrame) -> DataFrame:
-        """All pairs of classes of one shingle, with what they need and have."""
+    def pairs(left: DataFrame, first: bool = False) -> DataFrame:
+        """All pairs of classes of one shingle, with what they need and have; with `first`
+        only where the shingle may be the first that they share, which every linked pair has."""
         extra = [c for c in ("comp",) if c in left.columns]
         side = lambda q: left.select("t", F.col("cid").alias(q), *(F.col(c).alias(c + q) for c in ("n", "m", "pos", "seen")), *(F.col(c).alias(f"{c}_{q}") for c in extra))
         place = [{c: F.col(c + q) for c in ("n", "pos", "seen")} for q in "ab"]
-        p = side("a").join(side("b"), "t").filter("a < b").filter(fits(*place))
+        p = side("a").join(side("b"), "t").filter("a < b").filter(fits(*place, first))
         for c in extra:
             p = p.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
         return p.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("k"))
@@ -271,10 +274,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
             found = confirm(stars(labelled(), r))
             if not found.isEmpty():
                 labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
-        # shared light shingles are not counted here: grant as many as both have
-        light = few.groupBy("cid").agg(F.count("*").alias("light"))
-        p = pairs(labelled()).join(light.select(F.col("cid").alias("a"), F.col("light").alias("la")), "a", "left").join(light.select(F.col("cid").alias("b"), F.col("light").alias("lb")), "b", "left")
-        p = may_link(p, F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))))
+        p = pairs(labelled(), first=True).select("a", "b")
         found = confirm(p)
         if not found.isEmpty():
             labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
