@@ -38,7 +38,7 @@ from .common import checkpoint, saved, small_batches, texts
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Sketch of 2**BITS buckets in RANGES rows; at most 2 bytes a bucket are broadcast.
 BITS, RANGES = 22, 64
-MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 2
+MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 3
 POSTING = 64.0  # cost of one posting, in candidates met
 FILTER_WORDS = 1 << 17
 
@@ -203,9 +203,10 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     # one exchange by shingle serves all of this: those of a single class go, copies fall together
     w = Window.partitionBy("t")
     posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other").groupBy("t", "cid").agg(F.first("nm").alias("nm"), F.first("pos").alias("pos")).withColumn("df", F.count("*").over(w))
-    # `seen`: shingles before this one that any other class has; only they can be common
+    # a common shingle before this one is in both prefixes: at most `seen` of them, those of
+    # other classes too; `rest` counts this one and all after it, also beyond the prefix
     posts = posts.withColumn("seen", F.row_number().over(Window.partitionBy("cid").orderBy("pos")) - 1)
-    posts = saved(posts.select("t", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df", "pos", "seen"))
+    posts = saved(posts.select("t", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df", "seen", F.expr("nm div 64 - pos").alias("rest")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among `pairs`; the sets of the classes in them are made anew."""
@@ -223,15 +224,15 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         are common."""
         both = F.floor(((a["n"] + b["n"]) * num + (num + den - 1)) / F.lit(num + den))
         before = F.lit(0) if first else F.least(a["seen"], b["seen"])
-        place = before + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= both
+        place = before + F.least(a["rest"], b["rest"]) >= both
         return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & place
 
     def pairs(left: DataFrame, first: bool = False) -> DataFrame:
         """All pairs of classes of one shingle, with what they need and have; with `first`
         only where the shingle may be the first that they share, which every linked pair has."""
         extra = [c for c in ("comp",) if c in left.columns]
-        side = lambda q: left.select("t", F.col("cid").alias(q), *(F.col(c).alias(c + q) for c in ("n", "m", "pos", "seen")), *(F.col(c).alias(f"{c}_{q}") for c in extra))
-        place = [{c: F.col(c + q) for c in ("n", "pos", "seen")} for q in "ab"]
+        side = lambda q: left.select("t", F.col("cid").alias(q), *(F.col(c).alias(c + q) for c in ("n", "m", "seen", "rest")), *(F.col(c).alias(f"{c}_{q}") for c in extra))
+        place = [{c: F.col(c + q) for c in ("n", "seen", "rest")} for q in "ab"]
         p = side("a").join(side("b"), "t").filter("a < b").filter(fits(*place, first))
         for c in extra:
             p = p.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
@@ -253,11 +254,11 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     def stars(x: DataFrame, salt: int) -> DataFrame:
         """Of each shingle, every class with the first and the next one in a salted order."""
         w = Window.partitionBy("t").orderBy("h", "cid")
-        me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "pos", "seen", "comp")))
+        me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "seen", "rest", "comp")))
         x = x.withColumn("h", F.xxhash64("cid", F.lit(salt))).withColumn("me", me)
         x = x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
-        x = x.select("cid", "n", "pos", "seen", *(c for c in x.columns if c == "comp"), F.explode("near").alias("p"))
-        x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(*({c: F.col(q + c) for c in ("n", "pos", "seen")} for q in ("", "p."))))
+        x = x.select("cid", "n", "seen", "rest", *(c for c in x.columns if c == "comp"), F.explode("near").alias("p"))
+        x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(*({c: F.col(q + c) for c in ("n", "seen", "rest")} for q in ("", "p."))))
         if "comp" in x.columns:
             x = x.filter(F.col("p.comp") != F.col("comp"))
         return x.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
