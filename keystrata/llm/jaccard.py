@@ -38,7 +38,7 @@ from .common import checkpoint, saved, small_batches, texts
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Sketch of 2**BITS buckets in RANGES rows; at most 2 bytes a bucket are broadcast.
 BITS, RANGES = 22, 64
-MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 3
+MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 1
 POSTING = 64.0  # cost of one posting, in candidates met
 FILTER_WORDS = 1 << 17
 
@@ -252,8 +252,9 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     p = may_link(p, F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
 
     def stars(x: DataFrame, salt: int) -> DataFrame:
-        """Of each shingle, every class with the first and the next one in a salted order."""
-        w = Window.partitionBy("t").orderBy("h", "cid")
+        """Of each shingle, every class with the first and the next one in an order: at even
+        salts those of least own matter before it come first, at odd ones a hash decides."""
+        w = Window.partitionBy("t").orderBy(*([F.desc("rest")] if salt % 2 == 0 else []), "h", "cid")
         me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "seen", "rest", "comp")))
         x = x.withColumn("h", F.xxhash64("cid", F.lit(salt))).withColumn("me", me)
         x = x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
