@@ -165,18 +165,23 @@ def match(a: list[dict], b: list[dict]) -> tuple[int, list[tuple[int, int]]]:
     return size[n][m], pairs[::-1]
 
 
+def varying(node: dict) -> dict:
+    """A subtree that one side lacks: nothing in it is constant."""
+    return {"l": node["l"], "t": None, "k": [varying(x) for x in node["k"]]}
+
+
 def merge(a: dict, b: dict) -> dict:
     """Template of two aligned trees: t stays where equal and is None where it varies."""
     _, pairs = match(a["k"], b["k"])
     left = {i: j for i, j in pairs}
-    kids = [merge(x, b["k"][left[i]]) if i in left else {**x, "t": None} for i, x in enumerate(a["k"])]
-    kids += [{**x, "t": None} for j, x in enumerate(b["k"]) if j not in left.values()]
+    kids = [merge(x, b["k"][left[i]]) if i in left else varying(x) for i, x in enumerate(a["k"])]
+    kids += [varying(x) for j, x in enumerate(b["k"]) if j not in left.values()]
     return {"l": a["l"], "t": a["t"] if a["t"] == b["t"] else None, "k": kids}
 
 
 def template(pages: list[str]) -> str:
     """JSON template of a host from its reference pages; "" if they tell nothing."""
-    pages = sorted(set(pages))
+    pages = sorted({p for p in pages if p.strip()})
     if len(pages) < 2:
         return ""
     t = outline([parse(pages[0])])
@@ -245,7 +250,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = host_path(F.col("url"))[0]
     src = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     h1, h2 = (F.struct(F.xxhash64("html", F.lit(s)).alias("h"), F.col("html")) for s in (1, 2))
-    refs = src.groupBy("host").agg(F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"), F.max(h2).alias("d"))
+    refs = src.filter("trim(html) <> ''").groupBy("host").agg(F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"), F.max(h2).alias("d"))
     refs = refs.select("host", *(F.col(f"{x}.html").alias(x) for x in "abcd"))
 
     def induce(pdfs):

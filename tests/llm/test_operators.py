@@ -208,6 +208,16 @@ def test_wrappers(spark):
             assert got[i].text == "\n".join(b for b in want if b) and got[i].n_chars == len(got[i].text)
 
 
+def test_wrapper_of_unmatched_subtrees(spark):
+    page = "<html><body><div class=m><p>Menu</p></div><div class=c><p>{}</p></div>{}</body></html>"
+    more = page.format("two", "<div class=x><div><p>extra section</p></div></div>")
+    t = wrappers.template([page.format("one", ""), more])
+    assert wrappers.extract(more, t) == "two\nextra section" and wrappers.extract(page.format("one", ""), t) == "one"
+    rows = [(1, "http://a/", ""), (2, "http://a/", None)] + [(i, "http://a/", more) for i in range(3, 6)]
+    got = {x.page_id: x.text for x in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "" and got[3] == got[5] == "Menu\ntwo\nextra section"
+
+
 def test_packing(spark, edge, empty):
     r = random.Random(2)
     for _ in range(100):
