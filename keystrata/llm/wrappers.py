@@ -1,15 +1,19 @@
-"""Main text of web pages by wrapper induction.
-
-Each host's template comes from up to four reference pages (extremes of two hashes of the
-page), whose DOM trees are aligned by simple tree matching: sibling runs of one label are
-folded first, then the largest order-preserving match of children is found by dynamic
-programming, level by level.  A node whose text is the same in all references is template,
-one whose text varies is a slot.  Every page is then aligned with its host's template:
-slots are content, unless their element says what they are (menus, headers, footers,
-sidebars, notices, adverts, forms, comments); constant text is dropped outside the article
-element.  A host with one page, or whose references are copies, has no constants.
-
-Templates are joined by host: broadcast only if their summed size was found small, else in
+"""Main text of web pages by wrapper induction over all pages of a host.
+
+A page is read as runs: the text of an element with text of its own, inline elements in it
+included, or of an inline element in one that has none.  Runs are aligned by the labels on
+their way from the root (element, class and id), so repeated siblings fall together.  For
+every host all its distinct pages are counted: a run whose text at its place is on at least
+`SHARE` of them is template, a place that is on as many but whose text varies is a slot.
+Distinct are pages of different main text by the element names alone, so copies of a page
+prove nothing; pages without text are left out.
+
+Constant text is dropped outside the article element; elements that say what they are
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) go everywhere.  A
+host with one distinct page has no template.
+
+Counts are made of one row a distinct page and summed per host and run; what is left, the
+template, is joined by host: broadcast only if its summed size was found small, else in
 salted rows, so that a host with a third of all pages is not one task.
 
 Edge cases: null or empty html gives an empty text; broken markup is read as far as it
@@ -19,12 +23,12 @@ by one; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +44,22 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CHROME = frozenset("nav header footer aside form menu button select option input dialog label fieldset head".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|comments?|disqus|replies|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|copyright)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 SALTS, BROADCAST_BYTES, MAX_DEPTH = 32, 8 << 20, 120
+#: Least share of a host's distinct pages, and least pages outside and inside the article
+SHARE, OUTSIDE, INSIDE = 0.5, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "kids", "up", "depth")
+    __slots__ = ("tag", "label", "chrome", "noise", "kids", "up", "depth")
 
     def __init__(self, tag: str, attrs: str, up):
         self.tag, self.up, self.kids, self.depth = tag, up, [], up.depth + 1 if up else 0
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if attrs else {}
         mark = f"{found.get('class', '')} {found.get('id', '')}".strip()
         self.label = f"{tag}.{mark}" if mark else tag
-        self.noise = tag in CHROME or (tag not in ("html", "body", "article", "main") and bool(mark and NOISE.search(mark))) or found.get("role", "").lower() in ROLES
-
-    def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        self.chrome = tag in CHROME or found.get("role", "").lower() in ROLES
+        self.noise = self.chrome or (tag not in ("html", "body", "article", "main") and bool(mark and NOISE.search(mark)))
 
 
 def parse(html: str) -> Node:
@@ -110,108 +115,30 @@ def parse(html: str) -> Node:
             cur = node
 
 
-def fold(node: Node) -> dict:
-    """Label, text digest and folded child groups: siblings of one label in a row are one."""
-    own = " ".join("".join(k for k in node.kids if isinstance(k, str)).split())
-    groups: list[dict] = []
-    for k in node.kids:
-        if not isinstance(k, str):
-            if groups and groups[-1]["l"] == k.label:
-                groups[-1]["n"].append(k)
-            else:
-                groups.append({"l": k.label, "n": [k]})
-    return {"l": node.label, "t": own, "g": groups}
-
-
-def outline(nodes: list[Node]) -> dict:
-    """Folded tree of a run of siblings as a template: l label, t text, k children."""
-    texts, kids = [], []
-    for n in nodes:
-        f = fold(n)
-        texts.append(f["t"])
-        for g in f["g"]:
-            kids.append((g["l"], g["n"]))
-    merged: list[tuple[str, list[Node]]] = []
-    for label, ns in kids:
-        for have in merged:
-            if have[0] == label:
-                have[1].extend(ns)
-                break
-        else:
-            merged.append((label, list(ns)))
-    return {"l": nodes[0].label, "t": "\n".join(texts), "k": [outline(ns) for _, ns in merged]}
-
-
-def match(a: list[dict], b: list[dict]) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two child lists: size of the match and the matched pairs."""
-    n, m = len(a), len(b)
-    size = [[0] * (m + 1) for _ in range(n + 1)]
-    own = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            w = 0
-            if a[i - 1]["l"] == b[j - 1]["l"]:
-                w = own[i, j] = 1 + match(a[i - 1]["k"], b[j - 1]["k"])[0]
-            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + w)
-    i, j, pairs = n, m, []
-    while i and j:
-        if (i, j) in own and size[i][j] == size[i - 1][j - 1] + own[i, j]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif size[i][j] == size[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return size[n][m], pairs[::-1]
-
-
-def varying(node: dict) -> dict:
-    """A subtree that one side lacks: nothing in it is constant."""
-    return {"l": node["l"], "t": None, "k": [varying(x) for x in node["k"]]}
-
-
-def merge(a: dict, b: dict) -> dict:
-    """Template of two aligned trees: t stays where equal and is None where it varies."""
-    _, pairs = match(a["k"], b["k"])
-    left = {i: j for i, j in pairs}
-    kids = [merge(x, b["k"][left[i]]) if i in left else varying(x) for i, x in enumerate(a["k"])]
-    kids += [varying(x) for j, x in enumerate(b["k"]) if j not in left.values()]
-    return {"l": a["l"], "t": a["t"] if a["t"] == b["t"] else None, "k": kids}
-
-
-def template(pages: list[str]) -> str:
-    """JSON template of a host from its reference pages; "" if they tell nothing."""
-    pages = sorted({p for p in pages if p.strip()})
-    if len(pages) < 2:
-        return ""
-    t = outline([parse(pages[0])])
-    for p in pages[1:]:
-        t = merge(t, outline([parse(p)]))
-    return json.dumps(t, ensure_ascii=False)
-
-
-def constants(node: dict, page: dict, out: set, path: tuple = ()) -> None:
-    """Paths of the page's nodes that are aligned with constant, non-empty template nodes."""
-    path = (*path, page["l"])
-    if node["t"] and node["t"] == page["t"]:
-        out.add(path)
-    for i, j in match(node["k"], page["k"])[1]:
-        constants(node["k"][i], page["k"][j], out, path)
-
-
-def extract(html: str, wrapper: str = "") -> str:
+class Run:
+    __slots__ = ("path", "inside", "named", "parts", "text")
+
+    def __init__(self, path: str, inside: bool, named: bool):
+        self.path, self.inside, self.named, self.parts = path, inside, named, []
+
+    def key(self) -> int:
+        """Of the text at its place; odd inside the article."""
+        return item(f"{self.path}\0{self.text}") & ~1 | self.inside
+
+    def place(self) -> int:
+        return item(self.path) & ~1
+
+
+def item(s: str) -> int:
+    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def runs(html: str) -> tuple[list, bool]:
+    """The runs of a page, None between blocks, and whether it has an article."""
     root = parse(html)
-    fixed: set = set()
-    if wrapper:
-        constants(json.loads(wrapper), outline([root]), fixed)
-    blocks: list[str] = []
-    part: list[str] = []
-
-    def flush():
-        s = " ".join("".join(part).split())
-        part.clear()
-        if s:
-            blocks.append(s)
+    out: list = [None]
+    opened = False  # whether the last run may take more text
 
     def find(node: Node, tags: tuple) -> list[Node]:
         if node.noise:
@@ -220,45 +147,111 @@ def extract(html: str, wrapper: str = "") -> str:
             return [node]
         return [x for k in node.kids if not isinstance(k, str) for x in find(k, tags)]
 
-    def walk(node: Node, inside: bool, path: tuple):
-        path = (*path, node.label)
-        if node.noise or (not inside and path in fixed):
+    def walk(node: Node, path: str, inside: bool, named: bool, held):
+        nonlocal opened
+        if node.chrome or (node.noise and node.tag not in TEXT):
             return
-        if node.tag in BLOCK:
-            flush()
+        named, inside, path, block = named or node.noise, inside or node in main, f"{path}/{node.label}", node.tag in BLOCK
+        if block:
+            held = None
+            out.append(None)
+        if held is None:
+            opened = False
+            if any(isinstance(k, str) and k.strip() for k in node.kids):
+                held = path
         for k in node.kids:
-            if isinstance(k, str):
-                part.append(k)
-            else:
-                walk(k, inside, path)
-        if node.tag in BLOCK:
-            flush()
-
-    # a header inside the article belongs to it
+            if not isinstance(k, str):
+                walk(k, path, inside, named, held)
+                continue
+            last = out[-1]
+            if not opened or last is None or last.path != (held or path) or last.named != named:
+                last = Run(held or path, inside, named)
+                out.append(last)
+                opened = True
+            last.parts.append(k)
+        if block:
+            out.append(None)
+        if held is None or held == path:
+            opened = False
+
     main = find(root, ("article",)) or find(root, ("main",))
-    for node in main or [root]:
-        for x in node.kids if main else ():
+    for node in main:  # a header inside the article belongs to it
+        for x in node.kids:
             if not isinstance(x, str) and x.tag == "header":
-                x.noise = False
-        walk(node, bool(main), ())
-        flush()
+                x.chrome = x.noise = False
+    walk(root, "", False, False, None)
+    for r in out:
+        if r:
+            r.text = " ".join("".join(r.parts).split())
+    return out, bool(main)
+
+
+def joined(page: list, keep) -> str:
+    blocks, part = [], []
+    for r in [*page, None]:
+        if r is None:
+            s = " ".join("".join(part).split())
+            part = []
+            if s:
+                blocks.append(s)
+        elif not r.text or keep(r):
+            part += r.parts
     return "\n".join(blocks)
 
 
+def by_names(page: list, main: bool) -> str:
+    return joined(page, lambda r: not r.named and (r.inside or not main))
+
+
+def evidence(html: str) -> tuple[int, list[int]] | None:
+    """What a page says of its host: a hash of its main text by names, equal for copies, and
+    its texts and places; None without a text."""
+    page, main = runs(html)
+    text = by_names(page, main)
+    if not text:
+        return None
+    own = [r for r in page if r and r.text]
+    return item(text), sorted({r.key() for r in own} | {r.place() for r in own if not r.inside})
+
+
+def template(pages: list[str]) -> list[int] | None:
+    """Constant texts and known places of a host; None if its pages tell nothing."""
+    seen = dict(e for e in map(evidence, pages) if e)
+    if len(seen) < 2:
+        return None
+    counts = Counter(k for keys in seen.values() for k in keys)
+    return [k for k, c in counts.items() if c >= (INSIDE if k & 1 else OUTSIDE) and c >= SHARE * len(seen)]
+
+
+def extract(html: str, wrapper: list[int] | None = None) -> str:
+    page, main = runs(html)
+    if wrapper is None:
+        return by_names(page, main)
+    known = frozenset(wrapper)
+    # names decide inside the article
+    return joined(page, lambda r: not r.named and (r.inside if main else r.key() not in known))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     host = host_path(F.col("url"))[0]
     src = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    h1, h2 = (F.struct(F.xxhash64("html", F.lit(s)).alias("h"), F.col("html")) for s in (1, 2))
-    refs = src.filter("trim(html) <> ''").groupBy("host").agg(F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"), F.max(h2).alias("d"))
-    refs = refs.select("host", *(F.col(f"{x}.html").alias(x) for x in "abcd"))
 
-    def induce(pdfs):
-        for pdf in pdfs:
-            yield pd.DataFrame({"host": pdf["host"], "wrapper": [template(list(r)) for r in zip(*(pdf[x] for x in "abcd"))]})
-
-    wrappers = saved(refs.mapInPandas(induce, "host string, wrapper string"))
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    def tell(batches):
+        for b in batches:
+            got = [(h, *e) for h, e in zip(b.column(0), (evidence(x.as_py() or "") for x in b.column(1))) if e]
+            cols = list(zip(*got)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array([h.as_py() for h in cols[0]], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["host", "sig", "items"])
+
+    told = src.filter("html <> ''").select("host", "html").mapInArrow(tell, "host string, sig long, items array<long>")
+    # copies are one page: any of their rows, chosen by content so that runs repeat
+    told = saved(told.groupBy("host", "sig").agg(F.max("items").alias("items")))
+    n = told.groupBy("host").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = told.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count("*").alias("c")).filter(F.col("c") >= OUTSIDE)
+    least = F.greatest(F.when(F.col("item") % 2 == 0, OUTSIDE).otherwise(INSIDE), F.col("n") * SHARE)
+    known = counts.join(n, "host").filter(F.col("c") >= least).groupBy("host").agg(F.sort_array(F.collect_list("item")).alias("wrapper"))
+    wrappers = saved(n.join(known, "host", "left").select("host", F.coalesce("wrapper", F.array().cast("array<long>")).alias("wrapper")))
+    size = wrappers.agg(F.sum(8 * F.size("wrapper") + F.octet_length("host"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         both = src.join(F.broadcast(wrappers), "host", "left")
     else:
@@ -267,7 +260,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [extract(h.as_py() or "", w.as_py() or "") for h, w in zip(b.column(2), b.column(3))]
+            texts = [extract(h.as_py() or "", w.as_py()) for h, w in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return both.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")

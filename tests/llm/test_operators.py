@@ -218,6 +218,16 @@ def test_wrapper_of_unmatched_subtrees(spark):
     assert got[1] == got[2] == "" and got[3] == got[5] == "Menu\ntwo\nextra section"
 
 
+def test_wrapper_counts_all_pages(spark):
+    page = "<html><body><div class=m><p>{}</p></div><div class=c><p>text {}</p></div>{}</body></html>"
+    note = "<div class=x><p>Your account is new</p></div>"
+    rows = [(i, "http://a/", page.format("Menu" if i % 10 else "Menü", i, note if i % 10 != 1 else "")) for i in range(200)]
+    got = {x.page_id: x.text for x in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}" if i % 10 else got[i] == f"Menü\ntext {i}" for i in range(200))
+    assert wrappers.extract(rows[7][2], wrappers.template([r[2] for r in rows])) == "text 7"
+    assert wrappers.template([rows[1][2]] * 3) is None
+
+
 def test_packing(spark, edge, empty):
     r = random.Random(2)
     for _ in range(100):
