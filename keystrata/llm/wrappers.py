@@ -8,9 +8,13 @@ every host all its distinct pages are counted: a run whose text at its place is
 Distinct are pages of different main text by the element names alone, so copies of a page
 prove nothing; pages without text are left out.
 
-Constant text is dropped outside the article element; elements that say what they are
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) go everywhere.  A
-host with one distinct page has no template.
+Constant text is dropped, inside the article element too (there `INSIDE` pages at least
+must have it, as near copies share paragraphs); slots are content, outside the article too.
+Names decide the rest: menus, headers, footers, sidebars, notices, adverts, forms and
+comments are dropped even where they vary; on headings and paragraphs of a host that has a
+template, class and id decide nothing, since they often name the content; what is neither
+template nor slot is content in the article, or anywhere on a page that has none.  A host
+with one distinct page has no template, so that names alone decide.
 
 Counts are made of one row a distinct page and summed per host and run; what is left, the
 template, is joined by host: broadcast only if its summed size was found small, else in
@@ -228,8 +232,7 @@ def extract(html: str, wrapper: list[int] | None = None) -> str:
     if wrapper is None:
         return by_names(page, main)
     known = frozenset(wrapper)
-    # names decide inside the article
-    return joined(page, lambda r: not r.named and (r.inside if main else r.key() not in known))
+    return joined(page, lambda r: r.key() not in known and (r.inside or not main or r.place() in known))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

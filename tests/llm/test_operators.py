@@ -228,6 +228,17 @@ def test_wrapper_counts_all_pages(spark):
     assert wrappers.template([rows[1][2]] * 3) is None
 
 
+def test_wrapper_decides_in_articles():
+    page = ('<html><body><nav>n{0}</nav><div class=by>by {0}</div><div class=m>Menu</div><article><div class=x>Read our rules</div><h1>t{0}</h1><p>see <a>here</a> {0}</p>'
+            '<h2 id="related-work">Related {0}</h2><div class="ad">ad {0}</div></article></body></html>')
+    pages = [page.format(i) for i in range(5)]
+    t = wrappers.template(pages)
+    assert wrappers.extract(pages[3], t) == "by 3\nt3\nsee here 3\nRelated 3"
+    assert wrappers.extract(pages[3]) == "Read our rules\nt3\nsee here 3"
+    pair = wrappers.template(pages[:2])  # near copies: two pages prove nothing inside the article
+    assert wrappers.extract(pages[1], pair) == "by 1\nRead our rules\nt1\nsee here 1\nRelated 1"
+
+
 def test_packing(spark, edge, empty):
     r = random.Random(2)
     for _ in range(100):
