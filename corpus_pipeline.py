@@ -8,11 +8,14 @@ result as Parquet in the shared checkpoint folder and reads it again for the nex
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keystrata.llm import jaccard, packing, secrets, toxicity
 from keystrata.llm.common import saved, table
 from keystrata.llm.queries import model_path
 
+ROW = "_row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -21,10 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose id names its component stays; of rows that repeat an id, all do."""
-    same = jaccard.join(docs).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    null = docs.filter("doc_id is null")
-    return docs.join(same, "doc_id", "left_semi").select(*docs.columns).unionByName(null)
+    """One row of each component stays: that of the least id, rows without an id last.  Rows
+    are joined by a number of their own, so those that repeat an id or have none are told apart."""
+    rows = saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    same = jaccard.join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id", "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id", ROW)
+    first = rows.select(ROW, "doc_id").join(same, ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{ROW}")
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,3 +291,12 @@ def test_pipeline(spark):
         d = spark.createDataFrame(out.collect(), out.schema)
     n = corpus_pipeline.run(spark, DATA)
     assert n.select("doc_id").distinct().count() == d.count()
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    import corpus_pipeline
+
+    t = [" ".join(f"{k}{i}" for i in range(60)) for k in "abcd"]
+    rows = [(None, t[0]), (None, t[0]), (7, t[1]), (7, t[1]), (7, t[1] + " x"), (3, t[2]), (9, t[2]), (9, t[3]), (None, t[3] + " x"), (None, ""), (5, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted((x.doc_id or 0, (x.text or "")[:2]) for x in got) == [(0, ""), (0, "a0"), (3, "c0"), (5, ""), (7, "b0"), (9, "d0")]
