@@ -4,8 +4,9 @@ Base spans: `assign`, `access` and `hex` matches, leftmost and non-overlapping p
 Spans come from splitting a text at a pattern: gaps and matches alternate, so running
 lengths give code-point positions.
 
-Battery: each other long token of letters, digits and +/_=- that mixes classes gets an
-inferred encoding (hex, base32, lower or upper base36, base62, base64).  Three tests ask
+Battery: each long token of letters, digits and +/_=- that has a digit and a letter and is
+not within one base span gets an inferred encoding (hex, base32, lower or upper base36,
+base62, base64, or all of these symbols).  Three tests ask
 whether it may be uniform random: chi-squared of its symbols over the alphabet, runs about
 the alphabet's middle, and serial correlation of its symbol values.  Their p-values are
 combined (Bonferroni), and a Benjamini-Hochberg procedure per length class, over the
@@ -15,7 +16,8 @@ that survive and carry at least `MIN_BITS` are spans of kind `random`.  P-values
 
 Edge cases: a null or empty text has no spans and the hash of the empty string; an empty
 table gives no rows; repeated rows are scanned one by one; tokens may have any length; ties
-in start go by the kinds' order; spans that overlap a base span are not added.
+in start go by the kinds' order; a random span may overlap base spans, but for those that
+hold it; a token without a digit or without a letter is not tested.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ ENCODINGS = (
     ("hex", "^[0-9a-f]+$", DIGIT + "abcdef"), ("hexu", "^[0-9A-F]+$", DIGIT + "ABCDEF"), ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
     ("base36", "^[a-z0-9]+$", DIGIT + LOWER), ("base36u", "^[A-Z0-9]+$", DIGIT + UPPER), ("base62", "^[A-Za-z0-9]+$", UPPER + LOWER + DIGIT),
     ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGIT + "+/"), ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGIT + "-_"),
+    ("base66", "^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGIT + "+/-_"),
 )
 
 
@@ -120,8 +123,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     assign = F.filter(spans(text, ASSIGN, 0), lambda x: F.char_length(F.regexp_extract(x["s"], ASSIGN, 2)) >= 6)
     base = F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))
     src = docs.select("doc_id", *keep, base.alias("base"), spans(text, TOKEN, 3).alias("tokens"))
-    # a token is tested where no base span meets it
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    # a token is tested whole unless one base span covers it
+    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
     plain = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     cand = tested(free)
     rows = saved(src.select("doc_id", *keep, F.array_sort(plain("base")).alias("base"), cand.alias("cand")))

@@ -300,3 +300,13 @@ def test_near_duplicates_of_odd_ids(spark):
     rows = [(None, t[0]), (None, t[0]), (7, t[1]), (7, t[1]), (7, t[1] + " x"), (3, t[2]), (9, t[2]), (9, t[3]), (None, t[3] + " x"), (None, ""), (5, None)]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
     assert sorted((x.doc_id or 0, (x.text or "")[:2]) for x in got) == [(0, ""), (0, "a0"), (3, "c0"), (5, ""), (7, "b0"), (9, "d0")]
+
+
+def test_secrets_around_base_spans(spark):
+    r = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    a, b, c = ("".join(r.choice(chars + more) for _ in range(n)) for n, more in ((60, ""), (60, ""), (64, "+/-_")))
+    run = "".join(r.choice("0123456789abcdef") for _ in range(24))
+    rows = [(1, f"x {a}{run}{b} y", "s"), (2, f"x {c} y", "s"), (3, f"token={a} y", "s")]
+    masked = {x.doc_id: x.text for x in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    assert masked == {1: "x [random] y", 2: "x [random] y", 3: "[assign] y"}
