@@ -195,6 +195,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach) and
     class_id (equal sets)."""
     sc = docs.sparkSession.sparkContext
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))  # equal ids of other types have other hashes
     counts = sc.broadcast(sketch(docs))
     sig = saved(signatures(docs, counts, num, den))
     members = sig.select("doc_id", "n", "cid", "cid2")

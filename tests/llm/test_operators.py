@@ -302,6 +302,13 @@ def test_near_duplicates_of_odd_ids(spark):
     assert sorted((x.doc_id or 0, (x.text or "")[:2]) for x in got) == [(0, ""), (0, "a0"), (3, "c0"), (5, ""), (7, "b0"), (9, "d0")]
 
 
+def test_jaccard_of_int_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text + " x" * (i % 2)) for i in range(1, 5)] + [(9, "other words")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
 def test_secrets_around_base_spans(spark):
     r = random.Random(5)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
