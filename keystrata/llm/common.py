@@ -53,6 +53,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For operators bound by CPU: a table of fewer splits than there are cores (a small file)
+    is dealt to all of them; larger ones stay as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, underscores added where `df` has a column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ascii_lower(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 
 def model_path(name: str) -> str:
@@ -29,37 +29,37 @@ def op2_urls(spark, sf_dir):
 def op3_chat(spark, sf_dir):
     from . import toolcalls
 
-    return toolcalls.link(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(spread(table(spark, sf_dir, "conversations")))
 
 
 def op4_pieces(spark, sf_dir):
     from . import pieces
 
-    return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), model_path("piece_bpe_32k.model"), digest=True)
+    return pieces.encode(spread(table(spark, sf_dir, "documents", "doc_id", "text")), model_path("piece_bpe_32k.model"), digest=True)
 
 
 def op5_secrets(spark, sf_dir):
     from . import secrets
 
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return secrets.digest(secrets.scan(spread(table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 def op6_media(spark, sf_dir):
     from . import media
 
-    return media.read_media(media.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return media.read_media(media.to_media(spread(table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 def op7_jaccard(spark, sf_dir):
     from . import jaccard
 
-    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard.join(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op8_toxicity(spark, sf_dir):
     from . import toxicity
 
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
@@ -67,13 +67,13 @@ def op8_toxicity(spark, sf_dir):
 def op9_wrappers(spark, sf_dir):
     from . import wrappers
 
-    return wrappers.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return wrappers.main_text(spread(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op10_packing(spark, sf_dir):
     from . import packing
 
-    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model_path("byte_bpe_50k.json"))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents", "doc_id", "text")), model_path("byte_bpe_50k.json"))
 
 
 def pipeline(spark, sf_dir):

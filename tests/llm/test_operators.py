@@ -183,12 +183,40 @@ def test_toxicity_held_out(spark, edge, empty):
     x = toxicity.score(docs, model).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
     rank = x["score"].rank()
     n1, n0 = (x.toxic == 1).sum(), (x.toxic == 0).sum()
-    assert (rank[x.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.9
-    assert ((x.predicted == 1) & (x.toxic == 0)).sum() <= 0.02 * n0
+    assert (rank[x.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.95
+    assert ((x.predicted == 1) & (x.toxic == 0)).sum() <= 0.01 * n0
+    # 9 of the 144 toxic rows hold none of the words that mark the others
+    assert ((x.predicted == 1) & (x.toxic == 1)).sum() >= 0.89 * n1
     assert toxicity.is_held_out(5) == bool(spark.range(5, 6).select(toxicity.held_out(F.col("id"))).first()[0])
     assert toxicity.score(edge, model).count() == len(EDGE) and toxicity.score(edge, model, keep=False).filter("score < 0 or score > 1").count() == 0
+    got = toxicity.score(edge, model, keep=True, names=("s", "p", "h", "y")).collect()
+    assert len(got) == len(EDGE) and all(r.score == "clash" and 0 <= r.s <= 1 for r in got)
+    with pytest.raises(ValueError):
+        toxicity.score(edge, model, keep=True)
     none = toxicity.fit(empty, labels.limit(0))
     assert toxicity.score(empty, none).count() == 0
+    one = toxicity.fit(docs, labels.filter("toxic = 0"))
+    assert toxicity.score(edge, one).filter("score <> 0").count() == 0
+
+
+def test_toxicity_against_plain_odds(spark):
+    """Scores of words and the background, computed from the texts with plain loops."""
+    import math
+
+    rows = [(i, ("bad%s awful " % (i % 3) if i % 2 else "fine ") + " ".join(f"w{(i * 7 + k) % 50}x" for k in range(12)), i % 2) for i in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    c = [{}, {}]
+    for i, t, y in rows:
+        if not toxicity.is_held_out(i):
+            for w in set(toxicity.WORD.findall(t)):
+                c[y][w] = c[y].get(w, 0) + 1
+    n0, n1 = (sum(d.values()) for d in c)
+    p = 0.5 + 0.035 * n1 / (n0 + n1) * c[1]["awful"]
+    assert abs(m.words["awful"] - (math.log((c[1]["awful"] + p) / (n1 - c[1]["awful"] + p)) - math.log(p / (n0 + p)))) < 1e-9
+    assert "fine" not in m.words and m.background < 0
+    found, n = toxicity.passages("w1x awful bad w2x w3x awful awful", m)
+    assert n == 4 and found and found[0][0] == 2
 
 
 def test_wrappers(spark):
