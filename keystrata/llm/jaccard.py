@@ -2,7 +2,8 @@
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles.  Documents
 with equal sets (128-bit fingerprint) form one class, so copies are never expanded; all
-further work is on classes.
+further work is on classes, named by 64 bits that are dealt anew wherever two fingerprints
+share them.
 
 1. Every partition counts its shingles in hash buckets; the sums make a sketch of fixed
    size, the only thing sent to all executors.  Shingles are ordered by (bucket count,
@@ -11,11 +12,14 @@ further work is on classes.
    shingles among their first n - ceil(t*n) + L ones.  Each class takes the L of least
    estimated candidate cost; a pair must then share min(L, L') prefix shingles.
 3. Shingles with few classes emit all their pairs.  Shingles with many first emit stars
-   (every class with one pivot), are linked and labelled, and only then emit the pairs
-   that still lie in different components: a group of thousands of near copies costs
-   about its size, not its square, and no link between components is lost.
+   (every class with one pivot), are linked and labelled.  Only then do they emit the pairs
+   that still lie in different components, and only these: the classes outside a shingle's
+   largest component meet all its classes, so a group of thousands of near copies beside a
+   few others costs about its size, not its square, and no link between components is lost.
 4. Candidates are verified exactly on the whole sets.
 
+Shingles whose bucket count stands out (`HOT`) are dealt to `SALTS` tasks by class.
+
 Edge cases: null, empty or wordless texts have an empty set, are linked with nothing and
 are their own component; a text of 1 to 4 words is one shingle; rows without an id are
 kept with a null component; repeated ids share their component; an empty table gives no
@@ -41,6 +45,9 @@ BITS, RANGES = 22, 64
 MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 1
 POSTING = 64.0  # cost of one posting, in candidates met
 FILTER_WORDS = 1 << 17
+HOT, SALTS = 1000, 32
+#: Classes of more than 1/HEAVY of all rows (so fewer than HEAVY of them) meet their rows by broadcast.
+HEAVY = 1000
 
 
 def words(text: str) -> list[bytes]:
@@ -101,8 +108,9 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(h: np.ndarray, counts: np.ndarray, floor: float, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The prefix of least estimated cost and the number of matches it asks for."""
+def prefix(h: np.ndarray, counts: np.ndarray, floor: float, num: int, den: int) -> tuple[np.ndarray, int, int]:
+    """The prefix of least estimated cost, the number of matches it asks for, and how many of
+    its shingles, which come first, are not hot."""
     c = counts[h >> np.uint64(64 - BITS)]
     order = np.lexsort((h, c))
     least = need(len(h), num, den)
@@ -116,37 +124,65 @@ def prefix(h: np.ndarray, counts: np.ndarray, floor: float, num: int, den: int)
         price = POSTING * size + met[size - 1] * (1 + len(h) / (4 * m))
         if best is None or price < best:
             best, match = price, m
-    return h[order[:len(h) - least + match]], match
+    chosen = order[:len(h) - least + match]
+    return h[chosen], match, int(np.searchsorted(c[chosen], HOT + 3 * floor, "right"))
+
+
+def fingerprint(h: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two signed 64-bit halves of a set's fingerprint, `bits` of the first one."""
+    d = xxhash.xxh3_128_intdigest(h.tobytes())
+    return tuple((x ^ 1 << 63) - (1 << 63) for x in (d & (1 << bits) - 1, d >> 64))
 
 
-def signatures(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
-    """doc_id, n, cid, cid2, m (matches), prefix."""
+def signatures(docs: DataFrame, counts, num: int, den: int, bits: int = 64) -> DataFrame:
+    """doc_id, n, cid, cid2, m (matches), cold (shingles before the hot ones), prefix."""
+    kinds = {"n": pa.int64(), "cid": pa.int64(), "cid2": pa.int64(), "m": pa.int32(), "cold": pa.int32(), "prefix": pa.list_(pa.int64())}
 
     def run(batches):
         table = counts.value
         floor = float(table.mean())
         for b in batches:
             keys, it = texts(b)
-            out = [[], [], [], [], []]
+            rows = []
             for s in it:
                 h = shingles(s)
-                d = xxhash.xxh3_128_intdigest(h.tobytes())
-                p, m = prefix(h, table, floor, num, den) if len(h) else (h, 0)
-                for x, v in zip(out, (len(h), np.int64(np.uint64(d & (2**64 - 1)).view(np.int64)), np.int64(np.uint64(d >> 64).view(np.int64)), m, p.view(np.int64))):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], ["doc_id", "n", "cid", "cid2", "m", "prefix"])
+                p, m, cold = prefix(h, table, floor, num, den) if len(h) else (h, 0, 0)
+                rows.append((len(h), *fingerprint(h, bits), m, cold, p.view(np.int64)))
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(list(c), k) for c, k in zip(cols, kinds.values()))], ["doc_id", *kinds])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, cid2 long, m int, cold int, prefix array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, cid2 long, m int, prefix array<long>")
+class Classes:
+    """Makes cid name one set: where several fingerprints share it, all but the least are
+    renamed, until no two share one."""
 
+    def __init__(self, rows: DataFrame):
+        self.renames: list[DataFrame] = []
+        while True:
+            by = self.named(rows).groupBy("cid").agg(F.min("cid2").alias("keeps"), F.max("cid2").alias("most"))
+            shared = checkpoint(by.filter("keeps <> most").select("cid", "keeps"))
+            if shared.isEmpty():
+                break
+            self.renames.append(shared)
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, shs) of the documents whose id may be in `wanted`(doc_id): a bitmap of fixed
+    def named(self, rows: DataFrame) -> DataFrame:
+        """The rows (cid, cid2, ...) with their final cid."""
+        for k, shared in enumerate(self.renames):
+            new = F.when(F.col("keeps") < F.col("cid2"), F.xxhash64("cid", "cid2", F.lit(k))).otherwise(F.col("cid"))
+            rows = rows.join(shared, "cid", "left").withColumn("cid", F.when(F.col("keeps").isNull(), F.col("cid")).otherwise(new)).drop("keeps")
+        return rows
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
+    """(cid, cid2, shs) of the documents whose id may be in `wanted`(doc_id): a bitmap of fixed
     size spares the others, the joins that follow are exact."""
     sc = docs.sparkSession.sparkContext
     h = F.xxhash64("doc_id")
-    bits = wanted.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(doc_id), 40), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    marked = wanted.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(doc_id), 40), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     table = np.zeros(FILTER_WORDS, np.int64)
-    for w, b in bits.collect():
+    for w, b in marked.collect():  # at most FILTER_WORDS rows
         table[w] = b
     held = sc.broadcast(table)
 
@@ -156,14 +192,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             hs = b.column(2).to_numpy()
             ok = (t[hs % FILTER_WORDS] >> (hs.view(np.uint64) >> np.uint64(40)).astype(np.int64) % 64) & 1
             b = b.filter(pa.array(ok.astype(bool)))
-            cids, sets = [], []
-            for s in texts(b)[1]:
-                x = shingles(s)
-                cids.append(xxhash.xxh3_128_intdigest(x.tobytes()) & (2**64 - 1))
-                sets.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cids, np.uint64).view(np.int64), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shs"])
+            sets = [shingles(s) for s in texts(b)[1]]
+            names = list(zip(*(fingerprint(x, bits) for x in sets))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(n), pa.int64()) for n in names), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["cid", "cid2", "shs"])
 
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", h.alias("h")).mapInArrow(run, "cid long, shs array<long>").dropDuplicates(["cid"])
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", h.alias("h")).mapInArrow(run, "cid long, cid2 long, shs array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -174,9 +207,9 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): large-star and small-star until stable."""
+    """(node, root) for every node of the edges (a, b): large-star and small-star until all
+    that is left are stars: each node has one parent, and no parent has one."""
     e = checkpoint(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct())
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -184,39 +217,43 @@ def components(edges: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         j = e.join(low, "u")
         e = checkpoint(j.filter("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(low.select(F.col("m").alias("v"), "u")).distinct())  # small star
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
+        n, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == nodes and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, num: int = 75, den: int = 100, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach) and
-    class_id (equal sets)."""
+    class_id (equal sets).  `bits` of the fingerprint name a class at first (fewer in tests)."""
     sc = docs.sparkSession.sparkContext
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))  # equal ids of other types have other hashes
     counts = sc.broadcast(sketch(docs))
-    sig = saved(signatures(docs, counts, num, den))
-    members = sig.select("doc_id", "n", "cid", "cid2")
-    reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    posts = sig.filter("n > 0 and doc_id is not null").select("cid", (F.col("n") * 64 + F.col("m")).alias("nm"), F.posexplode("prefix").alias("pos", "t"))
+    sig = saved(signatures(docs, counts, num, den, bits))
+    classes = Classes(sig.select("cid", "cid2"))
+    sig = classes.named(sig)
+    members = sig.select("doc_id", "n", "cid")
+    reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    posts = sig.filter("n > 0 and doc_id is not null").select("cid", "cold", (F.col("n") * 64 + F.col("m")).alias("nm"), F.posexplode("prefix").alias("pos", "t"))
+    # a hot shingle's classes are dealt by their own hash: salt -1 is a shingle in one task
+    posts = posts.withColumn("salt", F.when(F.col("pos") < F.col("cold"), -1).otherwise(F.pmod(F.xxhash64("cid"), F.lit(SALTS))).cast("int"))
     # one exchange by shingle serves all of this: those of a single class go, copies fall together
-    w = Window.partitionBy("t")
-    posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other").groupBy("t", "cid").agg(F.first("nm").alias("nm"), F.first("pos").alias("pos")).withColumn("df", F.count("*").over(w))
+    w = Window.partitionBy("t", "salt")
+    posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other or salt >= 0").groupBy("t", "salt", "cid").agg(F.first("nm").alias("nm"), F.first("pos").alias("pos")).withColumn("df", F.count("*").over(w))
     # a common shingle before this one is in both prefixes: at most `seen` of them, those of
     # other classes too; `rest` counts this one and all after it, also beyond the prefix
     posts = posts.withColumn("seen", F.row_number().over(Window.partitionBy("cid").orderBy("pos")) - 1)
-    posts = saved(posts.select("t", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df", "seen", F.expr("nm div 64 - pos").alias("rest")))
+    posts = saved(posts.select("t", "salt", "cid", F.expr("nm div 64").alias("n"), F.expr("cast(nm % 64 as int)").alias("m"), "df", "seen", F.expr("nm div 64 - pos").alias("rest")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among `pairs`; the sets of the classes in them are made anew."""
         pairs = saved(pairs)
         nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
         wanted = nodes.join(reps, "cid").select(F.col("rep").alias("doc_id"))
-        return saved(verify(pairs, sets_of(docs, wanted), num, den))
+        sets = classes.named(sets_of(docs, wanted, bits)).select("cid", "shs").dropDuplicates(["cid"])
+        return saved(verify(pairs, sets, num, den))
 
-    few, many = posts.filter(F.col("df") <= FEW), posts.filter(F.col("df") > FEW)
+    few, many = posts.filter((F.col("salt") < 0) & (F.col("df") <= FEW)), posts.filter((F.col("salt") >= 0) | (F.col("df") > FEW))
     heavy = many.groupBy("cid").agg(F.count("*").alias("heavy"))
 
     def fits(a: dict, b: dict, first: bool = False):
@@ -228,16 +265,12 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         place = before + F.least(a["rest"], b["rest"]) >= both
         return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & place
 
-    def pairs(left: DataFrame, first: bool = False) -> DataFrame:
-        """All pairs of classes of one shingle, with what they need and have; with `first`
-        only where the shingle may be the first that they share, which every linked pair has."""
-        extra = [c for c in ("comp",) if c in left.columns]
-        side = lambda q: left.select("t", F.col("cid").alias(q), *(F.col(c).alias(c + q) for c in ("n", "m", "seen", "rest")), *(F.col(c).alias(f"{c}_{q}") for c in extra))
-        place = [{c: F.col(c + q) for c in ("n", "seen", "rest")} for q in "ab"]
-        p = side("a").join(side("b"), "t").filter("a < b").filter(fits(*place, first))
-        for c in extra:
-            p = p.filter(F.col(f"{c}_a") != F.col(f"{c}_b"))
-        return p.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("k"))
+    def sides(left: DataFrame, right: DataFrame, on: list[str], cols: tuple[str, ...]) -> DataFrame:
+        """`left` with columns ending in a, joined to `right` with columns ending in b."""
+        side = lambda df, q: df.select(*on, F.col("cid").alias(q), *(F.col(c).alias(c + q) for c in cols))
+        return side(left, "a").join(side(right, "b"), on)
+
+    place = [{c: F.col(c + q) for c in ("n", "seen", "rest")} for q in "ab"]
 
     def may_link(p: DataFrame, grant) -> DataFrame:
         """Keeps pairs that may reach the similarity, having k + `grant` common prefix shingles
@@ -247,48 +280,70 @@ def join(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
         both = F.expr(f"((na + nb) * {num} + {num + den - 1}) div {num + den}")
         return p.filter((k >= F.least("ma", "mb")) & (k + F.greatest(*least) >= both)).select("a", "b")
 
-    p = pairs(few)
+    p = sides(few, few, ["t"], ("n", "m", "seen", "rest")).filter("a < b").filter(fits(*place))
+    p = p.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("k"))
     # shared heavy shingles are not counted here, so as many as both have are granted
     p = p.join(heavy.select(F.col("cid").alias("a"), F.col("heavy").alias("ha")), "a", "left").join(heavy.select(F.col("cid").alias("b"), F.col("heavy").alias("hb")), "b", "left")
     p = may_link(p, F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
 
-    def stars(x: DataFrame, salt: int) -> DataFrame:
-        """Of each shingle, every class with the first and the next one in an order: at even
-        salts those of least own matter before it come first, at odd ones a hash decides."""
-        w = Window.partitionBy("t").orderBy(*([F.desc("rest")] if salt % 2 == 0 else []), "h", "cid")
-        me = F.struct(*(F.col(c) for c in x.columns if c in ("cid", "n", "seen", "rest", "comp")))
-        x = x.withColumn("h", F.xxhash64("cid", F.lit(salt))).withColumn("me", me)
-        x = x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
-        x = x.select("cid", "n", "seen", "rest", *(c for c in x.columns if c == "comp"), F.explode("near").alias("p"))
+    def stars(x: DataFrame, turn: int) -> DataFrame:
+        """Of each shingle, every class with the first and the next one in an order: on even
+        turns those of least own matter before it come first, on odd ones a hash decides.  The
+        firsts of a hot shingle's tasks are linked likewise."""
+        order = [*([F.desc("rest")] if turn % 2 == 0 else []), "h", "cid"]
+        labelled = "comp" in x.columns
+        x = x.withColumn("h", F.xxhash64("cid", F.lit(turn))).withColumn("me", F.struct("cid", "n", "seen", "rest", *(["comp"] if labelled else [])))
+
+        def near(x: DataFrame, *by: str) -> DataFrame:
+            w = Window.partitionBy(*by).orderBy(*order)
+            return x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
+
+        own = near(x, "t", "salt")
+        firsts = own.filter((F.col("salt") >= 0) & (F.col("near")[0]["cid"] == F.col("cid"))).drop("near")
+        cols = ["cid", "n", "seen", "rest", *(["comp"] if labelled else []), F.explode("near").alias("p")]
+        x = own.select(*cols).unionByName(near(firsts, "t").select(*cols))
         x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(*({c: F.col(q + c) for c in ("n", "seen", "rest")} for q in ("", "p."))))
-        if "comp" in x.columns:
+        if labelled:
             x = x.filter(F.col("p.comp") != F.col("comp"))
         return x.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
 
     edges = confirm(p.union(stars(many, 0)).distinct())
     labels = checkpoint(components(edges))
     if not many.isEmpty():
-        def labelled():
+        def labelled() -> DataFrame:
+            """The postings of shingles in several components, with comp and main, the component
+            of most classes there."""
             x = many.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-            mixed = x.groupBy("t").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("t")
-            return x.join(mixed, "t", "left_semi")
-
-        for r in range(1, STARS + 1):
-            found = confirm(stars(labelled(), r))
+            by = x.groupBy("t", "salt", "comp").agg(F.count("*").alias("k"))
+            mains = by.groupBy("t", "comp").agg(F.sum("k").alias("k")).groupBy("t").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
+            tasks = by.select("t", "salt").distinct().join(mains.filter("comps > 1").drop("comps"), "t")
+            return x.join(tasks, ["t", "salt"])
+
+        def across(x: DataFrame) -> DataFrame:
+            """The pairs of different components whose first common shingle this may be: classes
+            outside the main component meet all others, in every task of a hot shingle."""
+            salts = F.when(F.col("salt") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+            minor = x.filter("comp <> main").withColumn("salt", F.explode(salts))
+            p = sides(x, minor, ["t", "salt"], ("n", "seen", "rest", "comp", "main"))
+            p = p.filter("compa <> compb and (compa = maina or a < b)").filter(fits(*place, first=True))
+            return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+        for turn in range(1, STARS + 1):
+            found = confirm(stars(labelled().drop("main"), turn))
             if not found.isEmpty():
                 labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
-        p = pairs(labelled(), first=True).select("a", "b")
-        found = confirm(p)
+        found = confirm(across(saved(labelled())))
         if not found.isEmpty():
             labels = checkpoint(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
 
-    reps = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    reps = saved(reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     roots = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = reps.join(roots, "root").select("cid", "component_id")
-    # copies of one class may be a large part of all rows: they meet the class in salted rows
-    salts = 16
-    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(of, ["cid", "salt"], "left")
+    of = reps.join(roots, "root").select("cid", "component_id", "size")
+    # copies of one class may be a large part of all rows: such classes come to their rows
+    total = reps.agg(F.sum("size")).first()[0] or 0
+    large = F.broadcast(checkpoint(of.filter(F.col("size") * HEAVY > total).drop("size")))  # fewer than HEAVY rows
+    rest = members.join(large.select("cid"), "cid", "left_anti").join(of.drop("size"), "cid", "left")
+    out = members.join(large, "cid").unionByName(rest)
     comp = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("cid").alias("class_id"))
 

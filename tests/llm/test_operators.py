@@ -162,6 +162,26 @@ def test_jaccard_components(spark, edge, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_of_hot_shingles_and_shared_names(spark, monkeypatch):
+    """Hot shingles dealt to several tasks, near copies beside other components, and classes
+    whose first names collide."""
+    monkeypatch.setattr(jaccard, "HOT", -1e9)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if r.random() > 0.02 else f"e{r.randrange(999)}" for w in base), "s") for i in range(120)]
+    rows += [(200 + i, " ".join(base[:20 + 4 * i]), "s") for i in range(9)] + [(300 + i, " ".join(base[:30] + [f"z{i % 5}{k}" for k in range(30)]), "s") for i in range(15)]
+    want = jaccard.brute_force([(i, t) for i, t, _ in rows])
+    df = spark.createDataFrame(rows, DOCS)
+    for bits in (64, 3):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, bits=bits).collect()} == want
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
+    got = dict(jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
 def test_segments_are_maximal():
     r = random.Random(1)
     for _ in range(200):
