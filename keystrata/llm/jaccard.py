@@ -18,7 +18,8 @@ share them.
    few others costs about its size, not its square, and no link between components is lost.
 4. Candidates are verified exactly on the whole sets.
 
-Shingles whose bucket count stands out (`HOT`) are dealt to `SALTS` tasks by class.
+Shingles whose bucket count stands out (`HOT`) are dealt to several tasks by class, more of
+them (with the square root) the more rows there are.
 
 Edge cases: null, empty or wordless texts have an empty set, are linked with nothing and
 are their own component; a text of 1 to 4 words is one shingle; rows without an id are
@@ -45,7 +46,9 @@ BITS, RANGES = 22, 64
 MATCHES, FEW, STARS = (1, 2, 3, 4), 8, 1
 POSTING = 64.0  # cost of one posting, in candidates met
 FILTER_WORDS = 1 << 17
-HOT, SALTS = 1000, 32
+HOT = 1000
+#: A star has about HUB points, so that no class meets thousands of others by itself.
+HUB = 256
 #: Classes of more than 1/HEAVY of all rows (so fewer than HEAVY of them) meet their rows by broadcast.
 HEAVY = 1000
 
@@ -230,13 +233,14 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, bits: int = 64) -> Data
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))  # equal ids of other types have other hashes
     counts = sc.broadcast(sketch(docs))
     sig = saved(signatures(docs, counts, num, den, bits))
+    salts = max(8, min(256, int(sig.count() ** 0.5 / 32)))
     classes = Classes(sig.select("cid", "cid2"))
     sig = classes.named(sig)
     members = sig.select("doc_id", "n", "cid")
     reps = members.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     posts = sig.filter("n > 0 and doc_id is not null").select("cid", "cold", (F.col("n") * 64 + F.col("m")).alias("nm"), F.posexplode("prefix").alias("pos", "t"))
     # a hot shingle's classes are dealt by their own hash: salt -1 is a shingle in one task
-    posts = posts.withColumn("salt", F.when(F.col("pos") < F.col("cold"), -1).otherwise(F.pmod(F.xxhash64("cid"), F.lit(SALTS))).cast("int"))
+    posts = posts.withColumn("salt", F.when(F.col("pos") < F.col("cold"), -1).otherwise(F.pmod(F.xxhash64("cid"), F.lit(salts))).cast("int"))
     # one exchange by shingle serves all of this: those of a single class go, copies fall together
     w = Window.partitionBy("t", "salt")
     posts = posts.withColumn("other", F.min("cid").over(w) != F.max("cid").over(w)).filter("other or salt >= 0").groupBy("t", "salt", "cid").agg(F.first("nm").alias("nm"), F.first("pos").alias("pos")).withColumn("df", F.count("*").over(w))
@@ -288,8 +292,9 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, bits: int = 64) -> Data
 
     def stars(x: DataFrame, turn: int) -> DataFrame:
         """Of each shingle, every class with the first and the next one in an order: on even
-        turns those of least own matter before it come first, on odd ones a hash decides.  The
-        firsts of a hot shingle's tasks are linked likewise."""
+        turns those of least own matter before it come first, on odd ones a hash decides.  A
+        shingle of more than HUB classes has several stars, dealt by a hash of the class alike
+        for all shingles of its size; their firsts are linked likewise."""
         order = [*([F.desc("rest")] if turn % 2 == 0 else []), "h", "cid"]
         labelled = "comp" in x.columns
         x = x.withColumn("h", F.xxhash64("cid", F.lit(turn))).withColumn("me", F.struct("cid", "n", "seen", "rest", *(["comp"] if labelled else [])))
@@ -298,8 +303,9 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, bits: int = 64) -> Data
             w = Window.partitionBy(*by).orderBy(*order)
             return x.withColumn("near", F.array(F.first("me").over(w), F.lag("me").over(w)))
 
-        own = near(x, "t", "salt")
-        firsts = own.filter((F.col("salt") >= 0) & (F.col("near")[0]["cid"] == F.col("cid"))).drop("near")
+        several = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("df") / HUB)), F.lit(0))).cast("long")
+        own = near(x.withColumn("star", F.pmod(F.xxhash64("cid", F.lit(-1)), several)), "t", "salt", "star")
+        firsts = own.filter(((F.col("salt") >= 0) | (F.col("df") > HUB)) & (F.col("near")[0]["cid"] == F.col("cid"))).drop("near")
         cols = ["cid", "n", "seen", "rest", *(["comp"] if labelled else []), F.explode("near").alias("p")]
         x = own.select(*cols).unionByName(near(firsts, "t").select(*cols))
         x = x.filter(F.col("p.cid") != F.col("cid")).filter(fits(*({c: F.col(q + c) for c in ("n", "seen", "rest")} for q in ("", "p."))))
@@ -322,8 +328,8 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, bits: int = 64) -> Data
         def across(x: DataFrame) -> DataFrame:
             """The pairs of different components whose first common shingle this may be: classes
             outside the main component meet all others, in every task of a hot shingle."""
-            salts = F.when(F.col("salt") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            minor = x.filter("comp <> main").withColumn("salt", F.explode(salts))
+            every = F.when(F.col("salt") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+            minor = x.filter("comp <> main").withColumn("salt", F.explode(every))
             p = sides(x, minor, ["t", "salt"], ("n", "seen", "rest", "comp", "main"))
             p = p.filter("compa <> compb and (compa = maina or a < b)").filter(fits(*place, first=True))
             return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -166,6 +166,7 @@ def test_jaccard_of_hot_shingles_and_shared_names(spark, monkeypatch):
     """Hot shingles dealt to several tasks, near copies beside other components, and classes
     whose first names collide."""
     monkeypatch.setattr(jaccard, "HOT", -1e9)
+    monkeypatch.setattr(jaccard, "HUB", 5)
     r = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w if r.random() > 0.02 else f"e{r.randrange(999)}" for w in base), "s") for i in range(120)]
