@@ -10,14 +10,19 @@ base62, base64, or all of these symbols).  Three tests ask
 whether it may be uniform random: chi-squared of its symbols over the alphabet, runs about
 the alphabet's middle, and serial correlation of its symbol values.  Their p-values are
 combined (Bonferroni), and a Benjamini-Hochberg procedure per length class, over the
-tokens of all documents, rejects the ones that are not random at rate `FDR`.  The tokens
-that survive and carry at least `MIN_BITS` are spans of kind `random`.  P-values count in
-`BINS` bins (rounded down: towards rejection), so the procedure sees a table of fixed size.
+tokens of all documents, rejects the ones that are not random.  The tokens that survive and
+carry at least `MIN_BITS` are spans of kind `random`.  What is controlled is the share of
+truly random tokens among the rejected ones (secrets lost, at most `FDR`), not the share of
+plain tokens among the spans.  P-values count in bins of a factor 2**(1/OCTAVE) down to
+2**-SMALLEST (rounded up: against rejection), so the procedure sees a table of fixed size at
+any number of tokens.
 
 Edge cases: a null or empty text has no spans and the hash of the empty string; an empty
 table gives no rows; repeated rows are scanned one by one; tokens may have any length; ties
 in start go by the kinds' order; a random span may overlap base spans, but for those that
-hold it; a token without a digit or without a letter is not tested.
+hold it; a token without a digit or without a letter is not tested; rows without an id are
+scanned like others; further columns are ignored by `scan` but those in `keep` (none may be
+named base, tokens, cand, cuts or found), and kept whatever their names by `redact`.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-FDR, MIN_BITS, BINS = 0.05, 90.0, 1000
+FDR, MIN_BITS = 0.05, 90.0
+#: Bins of p-values: OCTAVE to a factor of two, those below 2**-SMALLEST in one.
+OCTAVE, SMALLEST = 8, 100
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets of the encodings, in the order of their symbols' values.
 ENCODINGS = (
@@ -117,6 +124,26 @@ def tested(tokens):
     return F.transform(x, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.struct(F.element_at(names, x["which"] + 1).alias("encoding"), x["n"].cast("long").alias("n"), F.least(F.lit(1.0), 3 * F.least(x["p_chi"], x["p_runs"], x["p_serial"])).alias("p"), (x["n"] * F.log2(x["k"])).alias("bits")).alias("r")))
 
 
+def p_bin(p):
+    """Number of the bin of a p-value: 0 for 1, the larger the smaller p; bin b holds p up to
+    2**(-b/OCTAVE)."""
+    return F.floor(F.least(F.lit(float(SMALLEST)), -F.log2(F.greatest(p, F.lit(2.0**-SMALLEST)))) * OCTAVE + 1e-9).cast("int")
+
+
+def cutoffs(bins: DataFrame) -> DataFrame:
+    """c, cut of bins(c, bin, k): the least bin that Benjamini-Hochberg rejects in each class;
+    all bins from there on are rejected, none if cut is beyond them."""
+    own = F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("small"), "k")))  # small p first
+    by = bins.groupBy("c").agg(own.alias("b"), F.sum("k").alias("m"))
+    start = F.struct(F.lit(0).cast("long").alias("rank"), F.lit(SMALLEST * OCTAVE + 1).alias("cut"))
+
+    def step(a, x):
+        rank = a["rank"] + x["k"]
+        return F.struct(rank.alias("rank"), F.when(F.pow(F.lit(2.0), x["small"] / OCTAVE) <= FDR * rank / F.col("m"), -x["small"]).otherwise(a["cut"]).alias("cut"))
+
+    return by.select("c", F.aggregate("b", start, step, lambda a: a["cut"]).alias("cut"))
+
+
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base and found: arrays of struct(start, kind, end), plus the columns named in `keep`."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -132,14 +159,9 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def length_class(n):
         return F.floor(F.log2(n.cast("double"))).cast("int")
 
-    bins = rows.select(F.explode("cand.r").alias("r")).select(length_class(F.col("r.n")).alias("c"), F.floor(F.col("r.p") * BINS).cast("int").alias("bin")).groupBy("c", "bin").agg(F.count("*").alias("k"))
-    # Benjamini-Hochberg per length class over at most BINS + 1 bins: largest p with p <= FDR * rank / tests
-    own = F.sort_array(F.collect_list(F.struct("bin", "k")))
-    by = bins.groupBy("c").agg(own.alias("b"), F.sum("k").alias("m"))
-    start = F.struct(F.lit(0).cast("long").alias("rank"), F.lit(-1).alias("cut"))
-    cut = F.aggregate("b", start, lambda a, x: F.struct((a["rank"] + x["k"]).alias("rank"), F.when(x["bin"] / BINS <= FDR * (a["rank"] + x["k"]) / F.col("m"), x["bin"]).otherwise(a["cut"]).alias("cut")), lambda a: a["cut"])
-    cuts = by.select("c", cut.alias("cut")).agg(F.map_from_entries(F.collect_list(F.struct("c", "cut"))).alias("cuts")).scalar()
-    good = F.filter("cand", lambda x: (x["r"]["bits"] >= MIN_BITS) & (F.floor(x["r"]["p"] * BINS) > F.try_element_at("cuts", length_class(x["r"]["n"]))))
+    bins = rows.select(F.explode("cand.r").alias("r")).select(length_class(F.col("r.n")).alias("c"), p_bin(F.col("r.p")).alias("bin")).groupBy("c", "bin").agg(F.count("*").alias("k"))
+    cuts = cutoffs(bins).agg(F.map_from_entries(F.collect_list(F.struct("c", "cut"))).alias("cuts")).scalar()
+    good = F.filter("cand", lambda x: (x["r"]["bits"] >= MIN_BITS) & (p_bin(x["r"]["p"]) < F.try_element_at("cuts", length_class(x["r"]["n"]))))
     return rows.withColumn("cuts", cuts).select("doc_id", *keep, "base", F.array_sort(F.concat("base", plain(good))).alias("found"))
 
 
@@ -159,8 +181,9 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every found span replaced by its kind in brackets; all columns stay,
     n_chars follows the text."""
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    found = scan(docs, kept)
+    # the whole row travels in one column, so that no name of it can clash
+    rows = docs.select(F.lit(0).alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = scan(rows, ("text", "row"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     kinds = F.array(*(F.lit(k) for k in KINDS))
 
@@ -170,8 +193,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), more.alias("out"))
 
     whole = F.aggregate("found", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    text = F.when(F.size("found") > 0, whole).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    hit, kinds_of = F.size("found") > 0, {f.name: f.dataType for f in docs.schema}
+    both = F.transform(F.array(whole), lambda t: F.struct(t.alias("text"), F.char_length(t).alias("n")))[0]
+    found = found.withColumn("new", F.when(hit, both))
+    new = {"text": F.when(hit, F.col("new.text")).otherwise(F.col("text")), "n_chars": F.when(hit, F.col("new.n")).otherwise(F.col("row")["n_chars"]) if "n_chars" in kinds_of else None}
+    return found.select(*((new[c] if c in new else F.col("row")[c]).cast(kinds_of[c]).alias(c) for c in docs.columns))

@@ -128,7 +128,14 @@ def test_secrets(spark, edge, empty):
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest(), t
     assert got[1000].spans == "random:4:44" and "random" not in got[1001].spans
     assert secrets.scan(edge).count() == len(EDGE) and secrets.scan(empty).count() == 0
-    masked = {x.doc_id: x for x in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    masked = {x.doc_id: x for x in secrets.redact(spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.char_length("text"))).collect()}
+    for i, t, _ in rows:
+        at, out = 0, ""
+        for kind, a, b in (x.split(":") for x in got[i].spans.split(",") if x):
+            if int(a) >= at:
+                out += t[at:int(a)] + f"[{kind}]"
+            at = max(at, int(b))
+        assert (masked[i].text, masked[i].n_chars) == (out + t[at:], len(out + t[at:])), t
     assert masked[1000].text == "key [random] end" and masked[1001].text == "id [hex] plain lowercaseproseofmorethantwentyletters"
 
 
@@ -366,3 +373,45 @@ def test_secrets_around_base_spans(spark):
     rows = [(1, f"x {a}{run}{b} y", "s"), (2, f"x {c} y", "s"), (3, f"token={a} y", "s")]
     masked = {x.doc_id: x.text for x in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
     assert masked == {1: "x [random] y", 2: "x [random] y", 3: "[assign] y"}
+
+
+def test_false_discovery_cuts_equal_the_plain_procedure(spark):
+    """Binned Benjamini-Hochberg against the one on sorted p-values, small ones included; and
+    the battery's p-values on uniform tokens."""
+    r = random.Random(8)
+    for low, m in ((1, 400), (1e-9, 5000), (1e-25, 3000)):
+        ps = [r.random() for _ in range(m)] + [r.random() * low for _ in range(m // 10)]
+        df = spark.createDataFrame([(0, p) for p in ps], "c int, p double").select("c", "p", secrets.p_bin(F.col("p")).alias("bin"))
+        cut = secrets.cutoffs(df.groupBy("c", "bin").agg(F.count("*").alias("k"))).first()["cut"]
+        got = sorted(x.p for x in df.filter(F.col("bin") >= cut).collect())
+        last = max((k for k, p in enumerate(sorted(ps), 1) if p <= secrets.FDR * k / len(ps)), default=0)
+        want = sorted(ps)[:last]
+        assert got == want[:len(got)] and all(p > secrets.FDR * len(want) / len(ps) * 2 ** (-2 / secrets.OCTAVE) for p in want[len(got):])
+    for name, _, alphabet in secrets.ENCODINGS[:8]:
+        rows = [("".join(r.choice(alphabet) for _ in range(48)),) for _ in range(600)]
+        x = spark.createDataFrame(rows, "s string").select(F.explode(secrets.tested(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(3).alias("kind"), F.lit(48).cast("long").alias("end"), "s")))).alias("x")).select("x.r.p")
+        assert x.filter("p <= 0.05").count() <= 0.1 * x.count() and x.filter("p <= 0.001").count() <= 0.01 * x.count(), name
+
+
+CLASH = ("score", "predicted", "held_out", "passages", "base", "found", "tokens", "cand", "cuts", "row", "r", "component_id", "class_id", "toxic", "g", "Row_", "n")
+
+
+@pytest.mark.parametrize("kind", ["clash", "empty"])
+def test_pipeline_stages_on_odd_tables(spark, kind):
+    """Null, empty and repeated rows, clashing columns and an empty table through every stage."""
+    import corpus_pipeline
+
+    rows = [*EDGE, (8, "password: hunter2hunter2 and more words here", "a")]
+    docs = spark.createDataFrame(rows, DOCS).select("*", F.lit(None).cast("int").alias("n_chars"), *(F.lit("keep").alias(c) for c in CLASH))
+    d = docs if kind == "clash" else docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, DATA)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = out.collect()
+        assert all(x[c] == "keep" for x in got for c in CLASH)
+        d = spark.createDataFrame(got, docs.schema)
+        if kind == "clash":
+            assert len(got) == (8 if name == "toxicity" else 7)
+    if kind == "clash":
+        assert next(x for x in got if x.doc_id == 8).text == "[assign] and more words here" and next(x for x in got if x.doc_id == 8).n_chars == 28
+    assert corpus_pipeline.pack(spark, d, DATA).count() >= d.count()
