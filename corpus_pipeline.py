@@ -3,6 +3,10 @@ secrets are masked, and the rest is packed into training windows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's
 result as Parquet in the shared checkpoint folder and reads it again for the next.
+
+Edge cases: further columns stay, whatever their names, until packing; null and empty texts
+are kept by all stages but the near-duplicate one, where each row without words stands for
+itself; repeated rows are near duplicates of each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,26 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import jaccard, packing, secrets, toxicity
-from keystrata.llm.common import saved, table
+from keystrata.llm.common import fresh, saved, table
 from keystrata.llm.queries import model_path
 
-ROW = "_row"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = fresh(docs, *toxicity.RESULT)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    kept = toxicity.score(docs, model, keep=True).filter("predicted = 0")
+    kept = toxicity.score(docs, model, keep=True, names=tuple(names)).filter(F.col(names[-1]) == 0)
     return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: that of the least id, rows without an id last.  Rows
     are joined by a number of their own, so those that repeat an id or have none are told apart."""
-    rows = saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    same = jaccard.join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id", "class_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id", ROW)
-    first = rows.select(ROW, "doc_id").join(same, ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{ROW}")
-    return rows.join(first, ROW, "left_semi").select(*docs.columns)
+    row, = fresh(docs, "row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    same = jaccard.join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("r"), "component_id", "class_id")
+    own = rows.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id"))
+    first = own.join(same, "r").groupBy("component_id").agg(F.min(F.struct("id", "class_id", "r")).alias("first")).select(F.col("first.r").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
