@@ -122,11 +122,11 @@ def glob_regex(pattern: str, nocase: bool = False) -> str:
 def memory_bytes(text) -> Column:
     """Bytes of a size like 64mb, 1k or 100; null if it is none (k is 1000, kb is 1024)."""
     t = F.lower(text)
-    unit = F.regexp_extract(t, "^[0-9]+(b|k|kb|m|mb|g|gb)?$", 1)
+    unit = F.regexp_extract(t, "^[+]?[0-9]+(b|k|kb|m|mb|g|gb)?$", 1)
     scale = F.lit(1).cast("bigint")
     for name, n in (("k", 10**3), ("kb", 1 << 10), ("m", 10**6), ("mb", 1 << 20), ("g", 10**9), ("gb", 1 << 30)):
         scale = F.when(unit == name, F.lit(n).cast("bigint")).otherwise(scale)
-    return F.when(t.rlike("^[0-9]+(b|k|kb|m|mb|g|gb)?$"), F.try_multiply(F.regexp_extract(t, "^[0-9]+", 0).try_cast("bigint"), scale))
+    return F.when(t.rlike("^[+]?[0-9]+(b|k|kb|m|mb|g|gb)?$"), F.try_multiply(F.regexp_extract(t, "[0-9]+", 0).try_cast("bigint"), scale))
 
 
 def float_text(x) -> Column:

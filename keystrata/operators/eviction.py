@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.commands import DENY_OOM
+
 POLICIES = ("noeviction", "allkeys-lru", "volatile-lru", "allkeys-lfu", "volatile-lfu", "volatile-ttl", "allkeys-random", "volatile-random")
 
 
@@ -19,7 +21,7 @@ def victims(keys: DataFrame, policy: str, limit_bytes: int, seed: int = 0) -> Da
         raise ValueError(f"unknown policy {policy}")
     if policy == "noeviction":
         return keys.select("cell", "key", "bytes").limit(0)
-    score = {"lru": F.col("last_seq"), "lfu": F.col("freq"), "ttl": F.col("expire_at_ms"), "random": F.crc32(F.concat(F.col("key"), F.lit(f"#{seed}")).cast("binary"))}[policy.split("-")[1]]
+    score = {"lru": F.col("last_seq"), "lfu": F.col("freq"), "ttl": F.col("expire_at_ms"), "random": F.md5(F.concat(F.col("key"), F.lit(f"#{seed}")).cast("binary"))}[policy.split("-")[1]]
     k = keys.withColumn("used", F.sum("bytes").over(Window.partitionBy("cell")))
     if policy.startswith("volatile"):
         k = k.filter(F.col("expire_at_ms").isNotNull())
@@ -29,7 +31,10 @@ def victims(keys: DataFrame, policy: str, limit_bytes: int, seed: int = 0) -> Da
 
 
 def admission(log: DataFrame, limit_bytes: int) -> DataFrame:
-    """seq, conn, admitted: growth so far on the connection's shard stays within the limit."""
+    """seq, conn, admitted: a command that may grow memory passes while the growth so far on its
+    connection's shard stays within the limit; all others pass and cost nothing."""
     w = Window.partitionBy("conn").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("key") + F.octet_length(F.coalesce("value", F.lit(""))) + 8
-    return log.withColumn("size", size.cast("bigint")).withColumn("used", F.coalesce(F.sum("size").over(w), F.lit(0))).select("seq", "conn", (F.col("used") <= limit_bytes).alias("admitted"))
+    grows = F.lower("cmd").isin(*DENY_OOM)
+    size = F.when(grows, F.octet_length("key") + F.octet_length(F.coalesce("value", F.lit(""))) + 8).otherwise(0)
+    used = F.coalesce(F.sum("size").over(w), F.lit(0))
+    return log.withColumn("size", size.cast("bigint")).withColumn("used", used).select("seq", "conn", (~grows | (F.col("used") <= limit_bytes)).alias("admitted"))

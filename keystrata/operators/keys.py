@@ -45,8 +45,14 @@ def scan_page(keyspace: DataFrame, after: tuple[int, str] | None, count: int, pa
     return s.orderBy("slot", "key").limit(count).filter(F.col("key").rlike(X.glob_regex(pattern)))
 
 
+def scan_all(keyspace: DataFrame, pattern: str = "*") -> DataFrame:
+    """What a whole cursor walk returns: every key once.  Order is a matter of pages only, so
+    nothing is sorted or shuffled."""
+    return matching(keyspace.select("key"), pattern)
+
+
 def random_key(keyspace: DataFrame, seed: int) -> DataFrame:
-    return keyspace.select("key").orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(1)
+    return keyspace.select("key").orderBy(F.md5(F.concat(F.col("key"), F.lit(f"#{seed}")).cast("binary")), "key").limit(1)
 
 
 def slots(keyspace: DataFrame, cells: int) -> DataFrame:

@@ -255,17 +255,12 @@ def kv_cell_balance(spark, d):
     return s.agg(F.countDistinct("slot").alias("tags"), F.count("*").alias("keys"))
 
 
-@query()
-def kv_scan_page(spark, d):
-    return keys.scan_page(fx.kv_customer(spark, d), (5000, ""), 100, "cust:*[02468]")
-
-
 @query(f"WITH {fx.KV_CUSTOMER} SELECT key FROM kv_customer")
 def kv_scan_full(spark, d):
-    return keys.scan_page(fx.kv_customer(spark, d), None, 2**31 - 1).select("key")
+    return keys.scan_all(fx.kv_customer(spark, d))
 
 
-@query()
+@query(f"WITH {fx.KV_ORDERS} SELECT key FROM kv_orders ORDER BY md5(key || '#42'), key LIMIT 1")
 def kv_randomkey(spark, d):
     return keys.random_key(fx.kv_orders(spark, d), 42)
 
@@ -304,11 +299,11 @@ def _evict(policy):
 
 
 for _policy in eviction.POLICIES[1:]:
-    _score = {"lru": "last_seq", "lfu": "freq", "ttl": "expire_at_ms", "random": None}[_policy.split("-")[1]]
-    query(EVICT % (_score, "expire_at_ms IS NOT NULL" if _policy.startswith("volatile") else "true") if _score else None)(_evict(_policy))
+    _score = {"lru": "last_seq", "lfu": "freq", "ttl": "expire_at_ms", "random": "md5(key || '#0')"}[_policy.split("-")[1]]
+    query(EVICT % (_score, "expire_at_ms IS NOT NULL" if _policy.startswith("volatile") else "true"))(_evict(_policy))
 
 
-@query(f"WITH {fx.KVLOG} SELECT seq, conn, coalesce(sum(strlen(key) + coalesce(strlen(value), 0) + 8) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 20000 AS admitted FROM kvlog")
+@query(f"WITH {fx.KVLOG} SELECT seq, conn, cmd = 'DEL' OR coalesce(sum(CASE WHEN cmd = 'DEL' THEN 0 ELSE strlen(key) + coalesce(strlen(value), 0) + 8 END) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 20000 AS admitted FROM kvlog")
 def kv_oom_gate(spark, d):
     return eviction.admission(fx.kvlog(spark, d), 20000)
 
@@ -380,10 +375,22 @@ def adm_config_get(spark, d):
     return admin.config_get(admin.config(spark), "MAXMEMORY*", "timeout")
 
 
-@query(f"WITH {_conf} SELECT name, CASE name WHEN 'maxmemory' THEN '104857600' WHEN 'timeout' THEN '5' ELSE value END AS value FROM conf")
+CHANGES = [(1, "maxmemory", "100mb"), (2, "databases", "4"), (2, "timeout", "9"), (3, "Timeout", "+5"), (4, "maxmemory", "lots"), (5, "maxmemory-policy", "bogus"), (6, "maxmemory-policy", "AllKeys-LFU"),
+           (7, "client-output-buffer-limit", "replica 1mb 0 5"), (8, "client-output-buffer-limit", "pubsub 1k 2k 3 normal 4 5 6"), (9, "client-output-buffer-limit", "pubsub 1 2"), (10, "nope", "1"), (11, "save", ""), (12, "tcp-keepalive", "007")]
+
+
+def _changes(spark):
+    return spark.createDataFrame(CHANGES, "seq int, name string, value string")
+
+
+@query(f"WITH {_conf} SELECT name, CASE name WHEN 'maxmemory' THEN '104857600' WHEN 'timeout' THEN '5' WHEN 'maxmemory-policy' THEN 'allkeys-lfu' WHEN 'client-output-buffer-limit' THEN 'normal 4 5 6 slave 1048576 0 5 pubsub 1000 2000 3' WHEN 'save' THEN '' WHEN 'tcp-keepalive' THEN '7' ELSE value END AS value FROM conf")
 def adm_config_set(spark, d):
-    ch = spark.createDataFrame([(1, "maxmemory", "100mb"), (2, "databases", "4"), (2, "timeout", "9"), (3, "Timeout", "5"), (4, "maxmemory", "lots")], "seq int, name string, value string")
-    return admin.config_set(admin.config(spark), ch)
+    return admin.config_set(admin.config(spark), _changes(spark))
+
+
+@query("SELECT CAST(range AS INTEGER) AS seq, CASE WHEN range = 2 THEN 'CONFIG_BOOT' WHEN range IN (4, 5, 9) THEN 'CONFIG_INVALID' WHEN range = 10 THEN 'CONFIG_UNKNOWN' END AS error FROM range(1, 13)")
+def adm_config_replies(spark, d):
+    return admin.config_replies(admin.config(spark), _changes(spark))
 
 
 @query(f"WITH {fx.KVLOG} SELECT conn, count(*) AS commands, min(at_ms) AS created_ms, max(at_ms) AS last_ms, arg_max(cmd, seq) AS last_cmd FROM kvlog GROUP BY conn")
@@ -391,11 +398,23 @@ def adm_client_list(spark, d):
     return admin.clients(fx.kvlog(spark, d))
 
 
-@query("WITH e AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 5 = 0 THEN 'DROP' ELSE 'CREATE' END AS op, CASE WHEN c_custkey % 7 = 0 THEN 'bad name' WHEN c_custkey % 11 = 0 THEN 'db3' ELSE 'ns.' || (c_custkey % 40) END AS name, c_custkey * 10 AS maxmemory FROM customer) SELECT name, maxmemory FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM e WHERE name LIKE 'ns.%') WHERE rn = 1 AND op = 'CREATE'")
-def adm_namespace(spark, d):
+NS = """e AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'DROP' ELSE 'CREATE' END AS op, CASE WHEN c_custkey % 7 = 0 THEN 'bad name' WHEN c_custkey % 11 = 0 THEN 'db03' WHEN c_custkey % 13 = 0 THEN 'DB3' WHEN c_custkey % 17 = 0 THEN 'db16' ELSE 'ns.' || (c_custkey * 7 % 40) END AS name, c_custkey * 10 AS maxmemory FROM customer)"""
+
+
+def _ns_events(spark, d):
     k = F.col("c_custkey")
-    e = fx.read(spark, d, "customer").select(k.alias("seq"), F.when(k % 5 == 0, "DROP").otherwise("CREATE").alias("op"), F.when(k % 7 == 0, "bad name").when(k % 11 == 0, "db3").otherwise(F.concat(F.lit("ns."), (k % 40).cast("string"))).alias("name"), (k * 10).alias("maxmemory"))
-    return admin.namespaces(e)
+    name = F.when(k % 7 == 0, "bad name").when(k % 11 == 0, "db03").when(k % 13 == 0, "DB3").when(k % 17 == 0, "db16").otherwise(F.concat(F.lit("ns."), (k * 7 % 40).cast("string")))
+    return fx.read(spark, d, "customer").select(k.alias("seq"), F.when(k % 3 == 0, "DROP").otherwise("CREATE").alias("op"), name.alias("name"), (k * 10).alias("maxmemory"))
+
+
+@query(f"WITH {NS} SELECT name, maxmemory FROM e a WHERE op = 'CREATE' AND name NOT IN ('bad name', 'db03') AND NOT EXISTS (SELECT 1 FROM e b WHERE b.name = a.name AND b.op = 'DROP' AND b.seq > a.seq) AND coalesce((SELECT arg_max(b.op, b.seq) FROM e b WHERE b.name = a.name AND b.seq < a.seq), 'DROP') = 'DROP'")
+def adm_namespace(spark, d):
+    return admin.namespaces(_ns_events(spark, d))
+
+
+@query(f"WITH {NS}, p AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY name ORDER BY seq), 'DROP') AS prev FROM e) SELECT seq, name, CASE WHEN name = 'bad name' AND op = 'CREATE' THEN 'INVALID_NAME' WHEN name = 'db03' THEN 'RESERVED' WHEN op = 'CREATE' AND prev = 'CREATE' THEN 'EXISTS' WHEN op = 'DROP' AND prev = 'DROP' THEN 'UNKNOWN' END AS error FROM p")
+def adm_namespace_replies(spark, d):
+    return admin.namespace_replies(_ns_events(spark, d))
 
 
 @query("SELECT user_id, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, max(value) AS worst FROM events GROUP BY user_id")

@@ -31,7 +31,7 @@ def test_set_options():
 
 def test_expire_conditions():
     t = run((0, "SET", "k", "v"), (0, "EXPIRE", "k", "10", "GT"), (0, "EXPIRE", "k", "10", "LT"), (0, "EXPIRE", "k", "5", "NX"), (0, "EXPIRE", "k", "20", "GT"), (0, "TTL", "k"), (0, "PERSIST", "k"), (0, "TTL", "k"), (0, "EXPIRE", "k", "1", "NX", "GT"), (0, "EXPIRE", "k", "-1"), (0, "TTL", "k"))
-    assert [x[1] for x in t[1:]] == [0, 1, 0, 1, 20, 1, -1, "EXPIRE_FLAGS", 1, -2]
+    assert [x[1] for x in t[1:]] == [0, 1, 0, 1, 20, 1, -1, "NX_CONFLICT", 1, -2]
 
 
 def test_ranges_moves_and_encodings():
@@ -40,6 +40,23 @@ def test_ranges_moves_and_encodings():
     assert run((0, "NOPE"), (0, "GET"))[:] == [("error", "UNKNOWN_COMMAND"), ("error", "ARITY")]
 
 
+def test_orders_of_checks():
+    far = str(2**63 - 1)
+    assert run((0, "SET", "k", "v"), (0, "EXPIRE", "k", far, "XX"), (0, "EXPIRE", "k", far), (0, "EXPIRE", "nope", far, "XX"), (0, "EXPIRE", "k", "1", "ZZ"), (0, "EXPIRE", "k", "1", "GT", "LT"))[1:] == [("int", 0), ("error", "INVALID_EXPIRE"), ("int", 0), ("error", "UNSUPPORTED_OPTION"), ("error", "GT_LT_CONFLICT")]
+    assert run((0, "SET", "k", "v"), (0, "FLUSHDB", "NOPE"), (0, "EXISTS", "k"), (0, "FLUSHALL", "async"), (0, "EXISTS", "k"))[1:] == [("error", "SYNTAX"), ("int", 1), ("simple", "OK"), ("int", 0)]
+    assert run((0, "PING"), (0, "PING", "x"), (0, "PING", "x", "y"), (0, "ECHO", "hi"), (0, "OBJECT", "IDLETIME", "k"), (0, "OBJECT", "NOPE", "k"), (0, "ECHO")) == [("simple", "PONG"), ("bulk", b"x"), ("error", "ARITY"), ("bulk", b"hi"), ("null", None), ("error", "SUBCOMMAND"), ("error", "ARITY")]
+
+
+def test_many_patterns(spark):
+    from keystrata.operators import pubsub
+
+    r = random.Random(6)
+    chans = sorted({"".join(r.choice("ab[-") for _ in range(r.randrange(5))) for _ in range(40)})
+    pats = sorted({"".join(r.choice("ab*?[]\\") for _ in range(r.randrange(6))) for _ in range(60)})
+    got = pubsub.matched(spark.createDataFrame([(c,) for c in chans], "channel string"), spark.createDataFrame([(p,) for p in pats], "name string")).collect()
+    assert sorted((x.channel, x.name) for x in got) == sorted((c, p) for c in chans for p in pats if glob(p, c))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_fold_equals_one_sequential_run(spark, seed):
     r, log = random.Random(seed), []
