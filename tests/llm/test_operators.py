@@ -44,6 +44,11 @@ def test_topk_against_all_scores(spark):
     for x in topk.search(df, F.col("vec_id") % 100 == 0, k=10, block=64).collect():
         got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
     ok = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    twice = {x.query_id: (x.vec_id, x.score) for x in topk.search(spark.createDataFrame([(1, [2.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (200, [1.0, 0.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=1).collect()}
+    assert twice == {200: (1, 2 * 2**20)}
+    both = topk.search(spark.createDataFrame([(1, [2.0, 0.0]), (1, [1.0, 0.0]), (200, [1.0, 0.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert [(x["rank"], x.vec_id, x.score) for x in sorted(both)] == [(1, 1, 2 * 2**20), (2, 1, 2**20)]
+    assert topk.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     lim = 2**63 - 1
     for q in (i for i in ok if i % 100 == 0):
         want = sorted((-max(-lim, min(lim, sum(a * b for a, b in zip(ok[q], v)))), i) for i, v in ok.items() if i != q)[:10]
@@ -80,6 +85,61 @@ def test_tool_calls(spark):
     assert next(x.json for x in got if x.call_id == "b") == '{"arguments":{"limit":2,"query":"$a"},"id":"b","name":"search"}'
 
 
+def test_tool_calls_on_odd_json(spark):
+    t = "<tool_call>%s</tool_call>"
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    texts = [t % '{"id":"\\ud800","name":"x","arguments":{}}', t % deep, t % '{"id":"n","x":NaN}', t % '{"id":"h","x":1e999}', t % ('{"id":"l","x":' + "9" * 5000 + "}"), t % '{"name":"search","arguments":{"query":"q"}}', t % '{"id":null,"name":"u","arguments":"s"}',
+             t % '{"id":7,"name":"u","arguments":3}', t % '{"id":"7","name":"u","arguments":"$7"}', "<tool_result>{\"id\":7}</tool_result><tool_result>{\"id\":7}</tool_result>"]
+    rows = [(None, i, "assistant", x) for i, x in enumerate(texts)]
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"u": {"type": "wat"}, "search": toolcalls.SCHEMAS["search"]}).collect()
+    by = sorted(((x.turn, x.kind, x.call_id, x.level, x.linked, x.valid) for x in got if x.kind != "message"), key=str)
+    assert by == [(0, "call", "\ufffd", 0, False, False), (5, "call", None, 0, False, True), (6, "call", None, 0, False, False), (7, "call", "7", 0, True, False), (8, "call", "7", None, False, False), (9, "result", "7", 1, True, True), (9, "result", "7", None, False, True)]
+    assert {x.turn for x in got if x.kind == "message" and "<tool_call>" in x.json} == {1, 2, 3, 4}
+    assert toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").limit(0)).count() == 0
+
+
+def link_plainly(rows, schemas):
+    """Linking by dictionaries and a recursive level, for small tables."""
+    items, first = [], {}
+    for c, t, r, x in rows:
+        for place, kind, cid, deps, ok, js in toolcalls.items_of(r or "", x or "", schemas):
+            if kind != "message":
+                items.append((c, t, kind, cid, deps, ok, js))
+                if cid is not None and (c, kind, cid) not in first:
+                    first[c, kind, cid] = len(items) - 1
+
+    def level(c, cid, seen):
+        i = first.get((c, "call", cid))
+        if i is None or cid in seen:
+            return None
+        below = [level(c, d, seen | {cid}) for d in items[i][4]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    out = []
+    for i, (c, t, kind, cid, deps, ok, js) in enumerate(items):
+        lead = first.get((c, kind, cid)) == i
+        at = level(c, cid, frozenset()) if lead else 0 if kind == "call" and cid is None and not deps else None
+        at = at + 1 if kind == "result" and at is not None else at
+        out.append((str(c), t, kind, str(cid), str(at), lead and (c, "result" if kind == "call" else "call", cid) in first, ok and (kind == "result" or at is not None), js))
+    return sorted(out)
+
+
+def test_tool_calls_against_plain_linking(spark):
+    r, rows = random.Random(12), []
+    for c in [*range(25), None]:
+        for t in range(r.randrange(1, 9)):
+            text = "say " * r.randrange(3)
+            for _ in range(r.randrange(4)):
+                i = r.choice(["a", "b", "c", "d", "e", 1, None])
+                if r.random() < 0.6:
+                    text += "<tool_call>" + json.dumps({"id": i, "name": r.choice(["search", "other"]), "arguments": {"query": r.choice(["$a", "$b", "$c", "$1", "x", "y"])} | ({"limit": r.choice([1, "1"])} if r.random() < 0.4 else {})}) + "</tool_call>"
+                else:
+                    text += "<tool_result>" + json.dumps({"tool_call_id": i, "content": r.randrange(3)}) + "</tool_result>"
+            rows.append((c, t, "assistant", text))
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("kind <> 'message'").collect()
+    assert sorted((str(x.conv_id), x.turn, x.kind, str(x.call_id), str(x.level), x.linked, x.valid, x.json) for x in got) == link_plainly(rows, toolcalls.SCHEMAS)
+
+
 def test_pieces_equal_the_library(spark, edge, empty):
     path = P.path("piece_bpe_32k.model")
     c = pieces.codec(path)
@@ -329,6 +389,8 @@ def test_packing(spark, edge, empty):
             assert o == at
             at += n
         assert at <= 1024 and at & (at - 1) == 0
+    same = packing.tokenise(spark.createDataFrame([(None, "a b c", "s")] * 3000, DOCS).coalesce(1), P.path("byte_bpe_50k.json"))
+    assert max(x["count"] for x in packing.pack(same, 3000, group_docs=100).groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()) < 400
     assert packing.pack_documents(edge, P.path("byte_bpe_50k.json")).count() >= len(EDGE) and packing.pack_documents(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
