@@ -1,6 +1,6 @@
 """Exact top-k inner products over an impact-ordered score-at-a-time index.
 
-Vectors are floored to integers.  Candidates are dealt by a hash of their id into blocks;
+Vectors are floored to integers.  Candidates are dealt by a hash of their row into blocks;
 each block indexes its postings in segments of equal quantised impact (the magnitude of a
 component), one posting list per dimension, and keeps for every vector the norm of what
 each level has not explained yet.  A block's queries are scored segment by segment in
@@ -13,8 +13,9 @@ Queries (a stated set, a fixed share of all rows) meet all rows in blocks: candi
 repeated once per query block of `query_block` rows, never per query.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components, and rows
-without an id, take no part; missing trailing components count as 0; of rows that repeat
-an id, the smallest vector counts; fewer than k candidates give as many rows; ties go to
+without an id, take no part; missing trailing components count as 0; every row that repeats
+an id is a candidate, and a query with results of its own (its copies are candidates of it);
+further columns are ignored; fewer than k candidates give as many rows; ties go to
 the smaller id; scores saturate at the range of long; an empty table gives no rows.
 """
 
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 LEVELS, SCALE = 12, 1024
 
 
@@ -93,46 +96,44 @@ def valid(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
 def search(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vec: str = "embedding", block: int = 2048, query_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where `is_query` (a Column on vec_id) holds."""
     rows = valid(df, vec_id, vec)
-    n, nq = df.count(), df.filter(is_query).count()
+    # written once, so that a row keeps its number: rows that repeat an id are told apart by it
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    n, nq = rows.count(), rows.filter(is_query).count()
     blocks, qblocks = max(1, -(-n // block), min(96, -(-n // 128))), max(1, -(-nq // query_block))
-    cand = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    cand = rows.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     cand = cand.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))) if qblocks > 1 else cand.withColumn("qb", F.lit(0))
-    q = rows.filter(is_query).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(qblocks)).cast("int"))
+    q = rows.filter(is_query).withColumn("qb", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(qblocks)).cast("int"))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def dense(pdf):
-        best = {}
-        for i, v in zip(pdf["vec_id"], pdf["v"]):
-            t = tuple(v)
-            if i not in best or t < best[i]:
-                best[i] = t
-        ids = sorted(best)
-        return np.array(ids, np.int64), [best[i] for i in ids]
+        pdf = pdf.assign(v=[tuple(v) for v in pdf["v"]]).sort_values(["vec_id", "v"], kind="stable")
+        return pdf["vec_id"].to_numpy(np.int64), list(pdf["v"]), pdf["row"].to_numpy(np.int64)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [], [], []
+        out = [], [], [], []
         if len(a) and len(b):
-            (ci, cv), (qi, qv) = dense(a), dense(b)
+            (ci, cv, cr), (qi, qv, qr) = dense(a), dense(b)
             dim = max(max(map(len, cv)), max(map(len, qv)), 1)
             x, y = (np.array([(*v, *[0.0] * (dim - len(v))) for v in m]) for m in (cv, qv))
             index = ImpactIndex(x)
             members = index.members(y, min(k + 1, len(ci)), max(4 * k, len(ci) // 16))
             for i, m in enumerate(members):
-                m = m[ci[m] != qi[i]]
+                m = m[cr[m] != qr[i]]
                 s = exact_scores(y[i], x[m])
                 top = np.lexsort((ci[m], -s))[:k] if len(m) else np.array([], int)
                 out[0].extend([qi[i]] * len(top))
                 out[1].extend(ci[m][top])
                 out[2].extend(s[top])
-        return pd.DataFrame({"query_id": np.array(out[0], np.int64), "vec_id": np.array(out[1], np.int64), "score": np.array(out[2], np.int64)})
+                out[3].extend([qr[i]] * len(top))
+        return pd.DataFrame({n: np.array(v, np.int64) for n, v in zip(("query_id", "vec_id", "score", "row"), out)})
 
-    part = cand.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInPandas(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    part = cand.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInPandas(run, "query_id long, vec_id long, score long, row long")
+    w = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+s AS (SELECT q.rn AS qn, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.rn <> c.rn WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
