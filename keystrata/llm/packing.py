@@ -8,9 +8,10 @@ that no multiset fills exactly takes the head of the next largest rest (document
 cut), so only a group's last window is short; it is cut into power-of-two sequences,
 which need no padding.
 
-Groups are dealt by a hash of (doc_id, tokens), about `group_docs` documents each, so
-neither a hot source nor a very long document loads one task: a long document travels as
-one row holding a checksum per full window and the ids of its rest only.
+Groups are dealt by a hash of the row and its place in its Arrow batch (files are read again
+in the same order), about `group_docs` documents each, so neither rows that repeat, with or
+without an id, nor a hot source, nor a very long document loads one task: a long document
+travels as one row holding a checksum per full window and the ids of its rest only.
 
 Edge cases: a null or empty text is the separator alone (one piece of length 1); an empty
 table gives no rows; repeated rows are packed one by one; further columns are ignored.
@@ -65,7 +66,8 @@ def encoder(vocab: str):
 
 
 def tokenise(docs: DataFrame, vocab: str, separator: int = 0, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, doc_tokens, crcs of the full windows, rest (uint32 ids)."""
+    """One row per document: doc_id, doc_tokens, crcs of the full windows, rest (uint32 ids),
+    place (row of the Arrow batch)."""
 
     def run(batches):
         encode = encoder(vocab)
@@ -79,10 +81,10 @@ def tokenise(docs: DataFrame, vocab: str, separator: int = 0, window: int = WIND
                 out[1].append([zlib.crc32(ids[k * window:(k + 1) * window].tobytes()) for k in range(full)])
                 out[2].append(ids[full * window:].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())],
-                ["doc_id", "doc_tokens", "crcs", "rest"])
+                [pa.array(keys, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(range(b.num_rows), pa.int32())],
+                ["doc_id", "doc_tokens", "crcs", "rest", "place"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest binary, place int")
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -176,8 +178,8 @@ def pack(tokens: DataFrame, n_docs: int, window: int = WINDOW, group_docs: int =
         out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         return out.astype({c: "int64" for c in out.columns if c != "doc_id"}).astype({"doc_id": "Int64"})
 
-    g = F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups))
-    return tokens.withColumn("g", g).groupBy("g").applyInPandas(run, PIECES)
+    g = F.pmod(F.xxhash64("doc_id", "doc_tokens", "rest", "crcs", "place"), F.lit(groups))
+    return tokens.withColumn("g", g).drop("place").groupBy("g").applyInPandas(run, PIECES)
 
 
 def pack_documents(docs: DataFrame, vocab: str, window: int = WINDOW) -> DataFrame:
