@@ -355,6 +355,65 @@ def test_wrapper_decides_in_articles():
     assert wrappers.extract(pages[1], pair) == "by 1\nRead our rules\nt1\nsee here 1\nRelated 1"
 
 
+def test_simple_tree_matching_against_all_matches():
+    """Sizes against every order-keeping matching of children, and partners that reach them."""
+    import itertools
+
+    r = random.Random(7)
+
+    def grow(level):
+        t = wrappers.Tree(r.choice("ab"))
+        t.kids = [grow(level - 1) for _ in range(r.randrange(4))] if level else []
+        return t
+
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+        most = 0
+        for k in range(min(len(a.kids), len(b.kids)) + 1):
+            for xs in itertools.combinations(a.kids, k):
+                for ys in itertools.combinations(b.kids, k):
+                    sizes = [best(x, y) for x, y in zip(xs, ys)]
+                    most = max(most, sum(sizes) if all(sizes) else 0)
+        return 1 + most
+
+    for _ in range(150):
+        a, b = grow(3), grow(3)
+        a.label = b.label = "r"
+        m = wrappers.Matching()
+        assert m.size(a, b) == best(a, b)
+        met = m.partners(a, b)
+        assert 1 + sum(m.size(a.kids[i], b.kids[j]) for i, j in met) == best(a, b) and met == sorted(met)
+
+
+def test_wrapper_aligns_unnamed_nodes(spark):
+    """Constant and varying nodes of one label path: only their place among siblings tells them apart."""
+    page = "<html><body><div><b>Site</b></div><div><p>{0}</p><p>{1}</p></div>{2}<div><i>All rights</i></div></body></html>"
+    pages = [page.format(f"one {i}", "Site", "<div><u>x%d</u></div>" % i if i % 3 else "") for i in range(9)]
+    t = wrappers.template(pages)
+    names = [wrappers.extract(p, t) for p in pages]
+    assert names == [f"one {i}" + (f"\nx{i}" if i % 3 else "") for i in range(9)]
+    changed = sum(wrappers.extract(p, t) != wrappers.extract(p) for p in pages)
+    assert changed == len(pages)
+    got = wrappers.main_text(spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert [x.text for x in sorted(got)] == names
+    assert wrappers.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrapper_reads_odd_markup_in_linear_time():
+    import time
+
+    start = time.monotonic()
+    assert wrappers.extract("<a " * 350_000) == "" and wrappers.extract("<p" + " '" * 100_001) == ""
+    assert wrappers.extract("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep" and wrappers.extract("</b>" * 50_000 + "x") == "x"
+    assert wrappers.extract("a < b <c>d") == "a < b d" and wrappers.extract("x<!-- y") == "x"
+    assert time.monotonic() - start < 20
+    deep = "<div>" * 130 + "<nav>menu</nav><p>a</p><p>b</p>" + "</div>" * 130
+    assert wrappers.extract(deep) == "a\nb"
+    kept = '<article><div class="article-header"><h1>T</h1></div><p class="side">s</p><p id="search-results">r</p></article>'
+    assert wrappers.extract(kept) == "T\ns\nr"
+
+
 def test_packing(spark, edge, empty):
     r = random.Random(2)
     for _ in range(100):
