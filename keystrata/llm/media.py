@@ -5,20 +5,28 @@ length and CRC-32, a frame with a Xing table (frames, bytes, 100 seek points), t
 CRC-protected frames.  Their side information says that no audio data follows (silence),
 so the rest of each frame is ancillary data, which carries the payload unchanged.
 
-`parse` knows nothing of the writer: it skips tags, resynchronises on frame headers (a
-sync counts only if the next frame's header follows it or the stream ends), parses the
-variable-bitrate table, verifies the CRC-16 of each frame and gives exact duration
-(samples over rate) and the frames' byte offsets.
+`parse` knows nothing of the writer: it reads ID3v2 tags, passes ID3v1 and APE tags between
+frames or at the end, resynchronises on Layer III frame headers of MPEG-1, 2 and 2.5 (a sync
+counts only if the next frame's header or a tag follows it or the stream ends), parses Xing,
+Info and VBRI tables, verifies the CRC-16 of each frame over the side information that its
+version and channel mode have, and gives exact duration (samples over rate) and the frames'
+byte offsets.  Layers I and II are no frames here.
 
 Edge cases: a null or empty text is a payload of 576 bytes 255; bytes that hold no frame
-give no frames and an empty payload; a damaged frame is counted in `bad` and skipped.
+give no frames and an empty payload; a damaged frame is counted in `bad` and skipped; where
+the rate changes, the duration is that of each frame's own rate; rows without an id and
+repeated rows are kept one by one; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from collections import Counter
+from dataclasses import dataclass
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +38,9 @@ from .common import small_batches, texts
 # Fixed values of the format: kbit/s of MPEG-1 Layer III, and sampling rates
 KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 RATES = (44100, 48000, 32000)
-SAMPLES, SIDE, UNIT = 1152, 32, 576
+# kbit/s of MPEG-2 and 2.5 Layer III, whose rates are a half and a quarter of the above
+KBITS2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+SIDE, UNIT = 32, 576
 HEAD = 4 + 2 + SIDE  # header, CRC-16, side information of two channels
 
 
@@ -86,60 +96,124 @@ def store(payload: bytes) -> bytes:
     return b"ID3\4\0\0" + synchsafe(len(tag)) + tag + xing + frames
 
 
-def header(data: bytes, at: int) -> tuple[int, int, int] | None:
-    """(frame bytes, rate, protected) if a Layer III header of MPEG-1 starts at `at`."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
-        return None
-    k, r = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-    if k in (0, 15) or r == 3:
+@dataclass(frozen=True)
+class Header:
+    size: int
+    rate: int
+    samples: int
+    side: int
+    protected: bool
+
+
+@lru_cache(maxsize=4096)
+def header_of(four: bytes) -> Header | None:
+    version, kbit, rate = four[1] >> 3 & 3, four[2] >> 4, four[2] >> 2 & 3
+    if four[0] != 0xFF or four[1] & 0xE6 != 0xE2 or version == 1 or kbit in (0, 15) or rate == 3:
         return None
-    return frame_size(r, k) + (data[at + 2] >> 1 & 1), RATES[r], not data[at + 1] & 1
+    one, mono = version == 3, four[3] >> 6 == 3
+    hz = RATES[rate] >> (0 if one else 1 if version == 2 else 2)
+    samples = 1152 if one else 576
+    size = samples // 8 * (KBITS if one else KBITS2)[kbit] * 1000 // hz + (four[2] >> 1 & 1)
+    return Header(size, hz, samples, (17 if mono else 32) if one else (9 if mono else 17), not four[1] & 1)
+
+
+def header(data: bytes, at: int) -> Header | None:
+    """The Layer III header that starts at `at`."""
+    return header_of(data[at:at + 4]) if at + 4 <= len(data) else None
+
+
+def trailer(data: bytes, at: int) -> int:
+    """Bytes of the ID3v1 or APE tag that starts at `at`, 0 if none does."""
+    if data[at:at + 3] == b"TAG" and at + 128 == len(data):
+        return 128
+    if data[at:at + 8] == b"APETAGEX" and at + 32 <= len(data):
+        size, flags = struct.unpack_from("<I4xI", data, at + 12)
+        size += 32 if flags >> 29 & 1 else 0  # a header comes besides what the size counts
+        return size if 32 <= size <= len(data) - at else 0
+    return 0
+
+
+def sync7(b: bytes) -> int:
+    return sum((x & 127) << s for x, s in zip(b, (21, 14, 7, 0)))
+
+
+def payload_mark(body: bytes, version: int) -> tuple[int, int] | None:
+    """Length and CRC-32 from a tag's own text frame `payload`, if it has one."""
+    at = 0
+    while at + 10 <= len(body) and body[at]:
+        size = sync7(body[at + 4:at + 8]) if version >= 4 else int.from_bytes(body[at + 4:at + 8], "big")
+        value = body[at + 10:at + 10 + size].split(b"\0")
+        if body[at:at + 4] == b"TXXX" and len(value) == 3 and value[1] == b"payload":
+            m = re.fullmatch(rb"([0-9]{1,15}):([0-9]{1,10})", value[2])
+            if m:
+                return int(m[1]), int(m[2])
+        at += 10 + size
+    return None
+
+
+def seek_table(frame: bytes, start: int) -> tuple | None:
+    """(frames, bytes, seek points) of a first frame's Xing, Info or VBRI table; fields it does
+    not have are null."""
+    if frame[start:start + 4] in (b"Xing", b"Info") and len(frame) >= start + 8:
+        flags, at, out = int.from_bytes(frame[start + 4:start + 8], "big"), start + 8, []
+        for bit, size in ((1, 4), (2, 4), (4, 100)):
+            part = frame[at:at + size] if flags & bit and at + size <= len(frame) else None
+            at += size if flags & bit else 0
+            out.append(part if part is None or size == 100 else int.from_bytes(part, "big"))
+        return tuple(out)
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, n, entries, scale, width, per = struct.unpack_from(">IIHHHH", frame, 46)
+        points = [int.from_bytes(frame[62 + k * width:62 + (k + 1) * width], "big") * scale for k in range(min(entries, (len(frame) - 62) // width if width else 0))]
+        return n, size, points
+    return None
 
 
 def parse(data: bytes) -> dict:
-    """frames (offsets), bad, samples, rate, tag and table values, payload."""
-    at, tag, out = 0, None, {"offsets": [], "bad": 0, "skipped": 0, "rate": 0, "samples": 0, "table": None, "payload": b""}
+    """frames (offsets), bad, samples, rate, seconds, tag and table values, payload."""
+    at, mark, out = 0, None, {"offsets": [], "bad": 0, "skipped": 0, "rate": 0, "samples": 0, "seconds": Fraction(0), "table": None, "payload": b""}
     if data[:3] == b"ID3" and len(data) >= 10:
-        size = sum((x & 127) << s for x, s in zip(data[6:10], (21, 14, 7, 0)))
-        body, at = data[10:10 + size], 10 + size
-        if body[:4] == b"TXXX":
-            value = body[10:10 + sum((x & 127) << s for x, s in zip(body[4:8], (21, 14, 7, 0)))].split(b"\0")
-            tag = value[2] if len(value) == 3 and value[1] == b"payload" else None
-    parts, synced = [], False
+        size = sync7(data[6:10])
+        mark, at = payload_mark(data[10:10 + size], data[3]), 10 + size
+    parts, synced, rates = [], False, Counter()
     while at < len(data):
         h = header(data, at)
-        ok = h and at + h[0] <= len(data)
-        if ok and not synced:  # a sync word inside data is no header: ask for its successor
-            ok = at + h[0] == len(data) or header(data, at + h[0]) is not None
+        ok = h and at + h.size <= len(data)
+        if ok and not synced:  # a sync word inside data is no header: ask for what follows
+            nxt = at + h.size
+            ok = nxt == len(data) or header(data, nxt) is not None or trailer(data, nxt) > 0
         if not ok:
+            tag = trailer(data, at) if synced else 0
+            if tag:
+                at += tag
+                continue
             synced, nxt = False, data.find(b"\xff", at + 1)
             nxt = len(data) if nxt < 0 else nxt
             out["skipped"] += nxt - at
             at = nxt
             continue
         synced, start = True, at + 4
-        if h[2]:
-            good = crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + SIDE]) == int.from_bytes(data[at + 4:at + 6], "big")
+        if h.protected:
             start = at + 6
-            if not good:
+            if crc16(data[at + 2:at + 4] + data[start:start + h.side]) != int.from_bytes(data[at + 4:at + 6], "big"):
                 out["bad"] += 1
-                at += h[0]
+                at += h.size
                 continue
-        start += SIDE
-        out["rate"] = h[1]
-        if not out["offsets"] and out["table"] is None and data[start:start + 4] in (b"Xing", b"Info"):
-            _, n, size = struct.unpack_from(">III", data, start + 4)
-            out["table"] = (n, size, data[start + 16:start + 116])
+        start += h.side
+        out["rate"] = out["rate"] or h.rate
+        table = seek_table(data[at:at + h.size], start - at) if not out["offsets"] and out["table"] is None else None
+        if table:
+            out["table"] = table
         else:
             out["offsets"].append(at)
-            parts.append(data[start:at + h[0]])
-        at += h[0]
-    out["samples"] = SAMPLES * len(out["offsets"])
+            out["samples"] += h.samples
+            rates[h.rate] += h.samples
+            parts.append(data[start:at + h.size])
+        at += h.size
+    out["seconds"] = sum((Fraction(n, r) for r, n in rates.items()), Fraction(0))
     payload = b"".join(parts)
-    if tag:
-        n, crc = map(int, tag.split(b":"))
-        payload = payload[:n]
-        out["intact"] = len(payload) == n and zlib.crc32(payload) == crc
+    if mark:
+        payload = payload[:mark[0]]
+        out["intact"] = len(payload) == mark[0] and zlib.crc32(payload) == mark[1]
     out["payload"] = payload
     return out
 
@@ -177,7 +251,7 @@ def read_media(media: DataFrame, digest: bool = True) -> DataFrame:
                 m = m.as_py() or b""
                 x = parse(m)
                 p = x["payload"]
-                rows.append((k, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(x), len(x["offsets"]), x["samples"] / x["rate"] if x["rate"] else 0.0, *(() if digest else (x["offsets"], p))))
+                rows.append((k, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(x), len(x["offsets"]), float(x["seconds"]), *(() if digest else (x["offsets"], p))))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()] + ([] if digest else [pa.list_(pa.int64()), pa.binary()])
             names = [f.strip().split(" ")[0] for f in schema.split(",")]
             cols = list(zip(*rows)) or [()] * len(kinds)

@@ -217,6 +217,39 @@ def test_media_round_trip(spark, edge, empty):
     assert media.read_media(media.to_media(empty)).count() == 0
 
 
+def stream(version: int, mode: int, protected: bool, sizes=(3, 5, 3), body=b"", first=b"") -> bytes:
+    """Layer III frames written from the format's description, the first one with `first`."""
+    out = b""
+    for k, kbit in enumerate(sizes):
+        h = bytes([0xFF, 0xE2 | version << 3 | (not protected), kbit << 4, mode << 6])
+        side = bytes(((17, 32) if version == 3 else (9, 17))[mode != 3])
+        rate = 44100 / {3: 1, 2: 2, 0: 4}[version]
+        kb = (media.KBITS if version == 3 else media.KBITS2)[kbit]
+        size = int((144 if version == 3 else 72) * kb * 1000 // rate)
+        crc = media.crc16(h[2:] + side).to_bytes(2, "big") if protected else b""
+        out += (h + crc + side + (first if k == 0 else body)).ljust(size, b"\0")
+    return out
+
+
+def test_media_of_other_writers():
+    for version, samples, rate in ((3, 1152, 44100), (2, 576, 22050), (0, 576, 11025)):
+        for mode in (0, 1, 3):
+            for protected in (True, False):
+                x = media.parse(stream(version, mode, protected))
+                assert (len(x["offsets"]), x["bad"], x["skipped"], x["samples"], x["rate"]) == (3, 0, 0, 3 * samples, rate), (version, mode, protected)
+    for mode in (1, 3):
+        xing = b"Xing" + (1 | 4).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes(range(100))
+        x = media.parse(stream(3, mode, False, (9, 5, 5), first=xing))
+        assert x["table"] == (2, None, bytes(range(100))) and len(x["offsets"]) == 2
+    vbri = bytes(32 - 17) + b"VBRI" + bytes(6) + (999).to_bytes(4, "big") + (2).to_bytes(4, "big") + (2).to_bytes(2, "big") + (10).to_bytes(2, "big") + (1).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"\x05\x07"
+    assert media.parse(stream(3, 3, False, (9, 5, 5), first=vbri))["table"] == (2, 999, [50, 70])
+    plain = stream(3, 1, True)
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") + (1 << 29 | 1 << 31).to_bytes(4, "little") + bytes(8) + bytes(40)
+    foreign = b"ID3\3\0\0" + media.synchsafe(30) + b"TXXX" + (20).to_bytes(4, "big") + b"\0\0" + b"\0payload\0not numbers"
+    x = media.parse(foreign + plain + ape + b"TAG".ljust(128, b"x"))
+    assert (len(x["offsets"]), x["bad"], x["skipped"]) == (3, 0, 0) and "intact" not in x
+
+
 def test_jaccard_components(spark, edge, empty):
     r = random.Random(9)
     base = [f"w{i % 40}x{i}" for i in range(70)]
