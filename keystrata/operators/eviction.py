@@ -38,3 +38,11 @@ def admission(log: DataFrame, limit_bytes: int) -> DataFrame:
     size = F.when(grows, F.octet_length("key") + F.octet_length(F.coalesce("value", F.lit(""))) + 8).otherwise(0)
     used = F.coalesce(F.sum("size").over(w), F.lit(0))
     return log.withColumn("size", size.cast("bigint")).withColumn("used", used).select("seq", "conn", (~grows | (F.col("used") <= limit_bytes)).alias("admitted"))
+
+
+def lfu_hit_rate(access: DataFrame, warm: int, slots: int) -> DataFrame:
+    """accesses, hits, hit_rate of the reads access(seq, key) from `warm` on, against a cache that
+    holds the `slots` keys read most before (ties to the smaller key)."""
+    held = access.filter(F.col("seq") < warm).groupBy("key").agg(F.count("*").alias("freq")).orderBy(F.desc("freq"), "key").limit(slots).select("key", F.lit(1).alias("hit"))
+    x = access.filter(F.col("seq") >= warm).join(held, "key", "left")
+    return x.agg(F.count("*").alias("accesses"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("hit_rate"))

@@ -46,3 +46,14 @@ def previous_alive(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("seq")
     before = F.lag(F.col("at_ms") + F.col("ttl_ms")).over(w)
     return log.select("seq", "key", F.when(before.isNull(), "none").when(before <= F.col("at_ms"), "expired").otherwise("live").alias("before"))
+
+
+def departures(log: DataFrame, tick_ms: int) -> DataFrame:
+    """key, seq, how, gone_ms of each write with a deadline in log(seq, at_ms, key, deadline):
+    replaced (touched before the deadline), lazy (found dead by the next command on its key)
+    or active (swept at the first tick that is not before the deadline)."""
+    after = F.lead("at_ms").over(Window.partitionBy("key").orderBy("seq"))
+    x = log.withColumn("after", after).filter(F.col("deadline").isNotNull()).withColumn("tick", F.ceil(F.col("deadline") / tick_ms) * tick_ms)
+    how = F.when(F.col("after") < F.col("deadline"), "replaced").when(F.col("after") < F.col("tick"), "lazy").otherwise("active")
+    gone = F.when(F.col("how") == "lazy", F.col("after")).when(F.col("how") == "active", F.col("tick"))
+    return x.withColumn("how", how).select("key", "seq", "how", gone.alias("gone_ms"))

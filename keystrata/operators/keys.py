@@ -37,8 +37,19 @@ def matching(keyspace: DataFrame, pattern: str) -> DataFrame:
     return keyspace.filter(F.col("key").rlike(X.glob_regex(pattern)))
 
 
-def scan_page(keyspace: DataFrame, after: tuple[int, str] | None, count: int, pattern: str = "*") -> DataFrame:
-    """One cursor page in (slot, key) order: `count` keys are taken before the pattern filters."""
+def cursor(text):
+    """decimal(20,0) of a cursor's text: up to 20 digits that fit 64 bits; else null (invalid)."""
+    n = F.when(text.rlike("^[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
+    return F.when(n <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), n)
+
+
+def scan_page(keyspace: DataFrame, after: tuple[int, str] | None, count: int, pattern: str = "*", type_: str = "string") -> DataFrame:
+    """One cursor page in (slot, key) order: `count` keys are taken before the pattern and the
+    type filter; every key is a string."""
+    if count < 1:
+        raise ValueError("COUNT must be positive")
+    if type_.lower() != "string":
+        return scan_page(keyspace, after, count, pattern).limit(0)
     s = keyspace.select("key").withColumn("slot", X.slot("key").cast("bigint"))
     if after is not None:
         s = s.filter(F.struct("slot", "key") > F.struct(F.lit(after[0]).cast("bigint"), F.lit(after[1])))

@@ -25,13 +25,13 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from . import programs  # noqa: F401  (registers what runs whole logs and streams)
+    from . import programs, service  # noqa: F401  (register more queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import programs  # noqa: F401
+    from . import programs, service  # noqa: F401
 
     return dict(_ORACLES)
 

@@ -62,7 +62,7 @@ def test_fold_equals_one_sequential_run(spark, seed):
     r, log = random.Random(seed), []
     for seq in range(400):
         k = lambda: f"k{r.randrange(12)}".encode()
-        cmd, args = r.choice([("SET", [k(), b"%d" % r.randrange(9)]), ("SET", [k(), b"x", b"PX", b"%d" % r.randrange(1, 200)]), ("INCR", [k()]), ("APPEND", [k(), b"+"]), ("DEL", [k(), k()]), ("GET", [k()]), ("RENAME", [k(), k()]), ("PEXPIRE", [k(), b"%d" % r.randrange(-5, 99)]), ("MGET", [k(), k()]), ("GETDEL", [k()])] + ([("FLUSHDB", [])] if r.random() < 0.02 else []))
+        cmd, args = r.choice([("SET", [k(), b"%d" % r.randrange(9)]), ("SET", [k(), b"x", b"PX", b"%d" % r.randrange(1, 200)]), ("INCR", [k()]), ("APPEND", [k(), b"+"]), ("DEL", [k(), k()]), ("GET", [k()]), ("RENAME", [k(), k()]), ("PEXPIRE", [k(), b"%d" % r.randrange(-5, 99)]), ("MGET", [k(), k()]), ("GETDEL", [k()]), ("PING", []), ("zap", [k()]), ("DEBUG", [b"OBJECT", k()])] + ([("FLUSHDB", [])] if r.random() < 0.02 else []))
         log.append((seq, seq * 7, 0, cmd, [bytearray(a) for a in args]))
     ks, want = Keyspace(), []
     for seq, at, db, cmd, args in log:
@@ -161,3 +161,37 @@ def test_frames_do_not_depend_on_chunks():
         assert got == want
     bad = Reader()
     assert bad.feed(b"*1\r\n+x\r\n") == [] and bad.error == "EXPECTED_BULK" and bad.feed(b"PING\r\n") == []
+
+
+def test_load_is_seeded_and_zipf_keeps_every_draw(spark):
+    from keystrata.sources import load
+
+    a, b = (sorted(map(tuple, load.mix(spark, 500, keys=50, seed=9, ttl_ms=(10, 20)).collect()), key=str) for _ in range(2))
+    assert a == b and all((c == "SET") == (px is not None) and (px is None or 10 <= px < 20) for _, c, _, _, px in a)
+    for n in (1, 7, 5000):
+        z = load.zipf(spark, n, 2000, seed=3)
+        assert z.count() == 2000 and z.select("seq").distinct().count() == 2000 and z.filter(f"rank < 1 or rank > {n}").count() == 0
+    assert load.zipf(spark, 0, 10).count() == 0
+    assert load.key_of(F.lit(7)) is not None and spark.range(1).select(load.key_of(F.lit(10**14))).first()[0] == "key:100000000000000"
+
+
+def test_info_sections():
+    from keystrata.operators.introspect import SECTIONS, wanted
+
+    assert wanted() == list(SECTIONS) == wanted("nope") == wanted("cpu", "ALL")
+    assert wanted("all", "Stats", "stats") == ["stats"]
+
+
+def test_debug_and_lolwut():
+    far = "9" * 400
+    assert run((0, "SET", "k", "abc"), (0, "DEBUG", "OBJECT", "k"), (0, "DEBUG", "OBJECT", "x"), (0, "DEBUG", "SLEEP", "-1"), (0, "DEBUG", "SLEEP", far), (0, "DEBUG", "JMAP"), (0, "DEBUG", "NOPE"))[1:] == [
+        ("simple", "Value at:0x0 refcount:1 encoding:embstr serializedlength:3 lru:0 lru_seconds_idle:0"), ("error", "NO_SUCH_KEY"), ("error", "NOT_FLOAT"), ("error", "NOT_FLOAT"), ("simple", "OK"), ("error", "SUBCOMMAND")]
+    assert run((0, "LOLWUT"))[0][0] == "bulk"
+
+
+def test_sketch_never_underestimates(spark):
+    from keystrata.operators import session
+
+    scores = spark.createDataFrame([(f"k{i}", float(i % 7)) for i in range(3000)], "key string, score double")
+    x = scores.join(session.estimates(scores.select("key"), session.frequency_sketch(scores)), "key")
+    assert x.count() == 3000 and x.filter("estimate < score").count() == 0
