@@ -1,4 +1,4 @@
-"""The eight eviction policies as ranking windows per cell, and the memory gate."""
+"""The eight eviction policies as exact rankings per cell, and the memory gate."""
 
 from __future__ import annotations
 
@@ -7,27 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions.commands import DENY_OOM
 
+RANGES = 4096
 POLICIES = ("noeviction", "allkeys-lru", "volatile-lru", "allkeys-lfu", "volatile-lfu", "volatile-ttl", "allkeys-random", "volatile-random")
 
 
 def victims(keys: DataFrame, policy: str, limit_bytes: int, seed: int = 0) -> DataFrame:
     """cell, key, bytes of the keys to go so that each cell fits `limit_bytes`.
 
-    keys: cell, key, bytes, expire_at_ms, last_seq, freq.  Candidates of the policy are
-    ranked by score within their cell and the shortest sufficient prefix goes; windows are
-    partitioned by cell, never global.
+    keys: cell, key, bytes, expire_at_ms, last_seq, freq.  Candidates of the policy go in the
+    order of (score, key) within their cell until it fits.  Scores are cut into RANGES; the
+    sums of the ranges decide all but the one in which a cell comes to fit, and only the rows
+    of that one are ranked.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
     if policy == "noeviction":
         return keys.select("cell", "key", "bytes").limit(0)
     score = {"lru": F.col("last_seq"), "lfu": F.col("freq"), "ttl": F.col("expire_at_ms"), "random": F.md5(F.concat(F.col("key"), F.lit(f"#{seed}")).cast("binary"))}[policy.split("-")[1]]
-    k = keys.withColumn("used", F.sum("bytes").over(Window.partitionBy("cell")))
-    if policy.startswith("volatile"):
-        k = k.filter(F.col("expire_at_ms").isNotNull())
-    w = Window.partitionBy("cell").orderBy("score", "key").rowsBetween(Window.unboundedPreceding, -1)
-    k = k.withColumn("score", score).withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
-    return k.filter(F.col("used") - F.col("before") > limit_bytes).select("cell", "key", "bytes")
+    excess = keys.groupBy("cell").agg((F.sum("bytes") - limit_bytes).alias("excess")).filter("excess > 0")
+    k = keys.filter(F.col("expire_at_ms").isNotNull()) if policy.startswith("volatile") else keys
+    k = k.select("cell", "key", "bytes", score.alias("score"))
+    if policy.endswith("random"):
+        part = F.conv(F.substring("score", 1, 3), 16, 10).cast("long")
+    else:  # equal widths between the extremes
+        low, high = (k.agg(f("score")).scalar() for f in (F.min, F.max))
+        part = F.floor((F.col("score") - low) / (high - low + 1) * RANGES)
+    k = k.withColumn("part", F.coalesce(part, F.lit(-1)))  # no score goes first
+    sums = k.groupBy("cell", "part").agg(F.sum("bytes").alias("size")).join(excess, "cell")
+    earlier = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a cell
+    sums = sums.withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0))).filter("base < excess")
+    k = k.join(sums.select("cell", "part", "base", "excess", (F.col("base") + F.col("size") < F.col("excess")).alias("whole")), ["cell", "part"])
+    before = Window.partitionBy("cell", "part").orderBy("score", "key").rowsBetween(Window.unboundedPreceding, -1)
+    last = k.filter(~F.col("whole")).withColumn("before", F.col("base") + F.coalesce(F.sum("bytes").over(before), F.lit(0))).filter("before < excess")
+    return k.filter("whole").select("cell", "key", "bytes").unionByName(last.select("cell", "key", "bytes"))
 
 
 def admission(log: DataFrame, limit_bytes: int) -> DataFrame:

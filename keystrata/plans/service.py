@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import admin, eviction, expiry, fold, introspect, keys, pubsub, session
 from ..sources import fixtures as fx
 from ..sources import load, wire
+from ..streaming import live
 from .catalog import NOW, query
 
 SEED = 0xC0FFEE
@@ -161,6 +162,22 @@ def kv_active_expiry(spark, d):
     return expiry.departures(log, TICK)
 
 
+@query(f"WITH {fx.KVLOG}, w AS (SELECT key, max(seq) AS seq, arg_max(at_ms + ttl_ms, seq) AS deadline FROM kvlog WHERE cmd = 'PSETEX' GROUP BY key) SELECT * FROM w WHERE deadline <= (SELECT max(at_ms) FROM kvlog WHERE cmd = 'PSETEX')")
+def stream_expiry(spark, d):
+    """Keys that timers expire by the end of a stream that comes in one batch."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    key = F.concat(F.lit("{u"), F.col("user_id").cast("string"), F.lit("}:cart"))
+    s = live.table_stream(spark, d, "events").filter("event_type = 'purchase'")
+    w = s.select(key.alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), (fx.millis("ts") + cents * 10000).alias("deadline"))
+    name, provider = live.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        return live.run_to_end(live.expiring(w), "append").drop("batch")
+    finally:
+        spark.conf.set(name, before)
+
+
 CLOSING = "ev AS (SELECT user_id AS conn, event_id AS seq, CASE WHEN event_type IN ('signup', 'click') THEN 'sub' WHEN event_type = 'purchase' THEN 'close' ELSE 'unsub' END AS verb, CASE WHEN event_type <> 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'pattern' ELSE 'channel' END END AS kind, CASE WHEN event_type IN ('signup', 'click') OR event_type = 'view' THEN 'c' || event_id % 3 END AS name FROM events WHERE event_type IN ('signup', 'click', 'error', 'view') OR event_type = 'purchase' AND event_id % 4 = 0)"
 
 
