@@ -123,13 +123,17 @@ def judge(pages: DataFrame, rules: DataFrame, blocks: int | None = None) -> Data
         return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit(kind), s, F.lit("\0"), p))))
 
     def passes(k):
-        base, h2 = F.pmod(F.xxhash64(k), F.lit(blocks)) * WORDS, F.xxhash64(k, F.lit(7))
-        ok = None
-        for w in range(WORDS):
-            bit = F.pmod(F.shiftrightunsigned(h2, 7 * w), F.lit(64)).cast("int")
-            x = F.getbit(F.get(F.col("words"), (base + w).cast("int")), bit)
-            ok = (x == 1) if ok is None else ok & (x == 1)
-        return ok
+        h2 = F.xxhash64(k, F.lit(7))
+        base = F.pmod(F.xxhash64(k), F.lit(blocks)) * WORDS + 1
+
+        def every(block):
+            ok = None
+            for w in range(WORDS):
+                x = F.getbit(F.get(block, F.lit(w)), F.pmod(F.shiftrightunsigned(h2, 7 * w), F.lit(64)).cast("int")) == 1
+                ok = x if ok is None else ok & x
+            return ok
+
+        return F.exists(F.array(F.slice("words", base.cast("int"), WORDS)), every)
 
     keys = F.concat(asked(True, F.col("host"), F.col("path")), asked(False, *canonical(F.col("host"), F.col("path"))))
     # A url is told apart from its repeats by its input partition and counted there.
