@@ -221,3 +221,17 @@ def kv_fold_keyless(spark, d):
     args = F.when(F.col("cmd") == "SET", F.array("key", "value")).when(F.col("cmd") == "DEL", F.array("key")).otherwise(F.array().cast("array<string>"))
     done = fold.replies(log.select("seq", "at_ms", F.lit(0).alias("db"), cmd.alias("cmd"), args.cast("array<binary>").alias("args")))
     return done.select("seq", "kind", "int_val", "error")
+
+
+FAR = 86_400_000  # seconds
+
+
+@query(f"""WITH {fx.KVLOG}, c AS (SELECT *, CASE WHEN seq % 2 = 0 THEN NULL WHEN seq % 4 = 1 THEN (at_ms // 1000 + {FAR}) * 1000 ELSE at_ms + {FAR}000 END AS due, min(CASE WHEN seq % 2 = 0 THEN seq END) OVER (PARTITION BY key) AS born FROM kvlog WHERE cmd = 'PSETEX')
+SELECT key, count(*) AS version, arg_max_null(due, seq) AS expire_at_ms FROM c WHERE seq >= born GROUP BY key""")
+def kv_fold_versions(spark, d):
+    """SET, EXPIREAT and PEXPIREAT through the fold: each that takes effect raises a record's version."""
+    k = F.col("seq") % 4
+    cmd = F.when(k % 2 == 0, "SET").when(k == 1, "EXPIREAT").otherwise("PEXPIREAT")
+    arg = F.when(k % 2 == 0, F.col("value")).when(k == 1, (F.floor(F.col("at_ms") / 1000) + FAR).cast("string")).otherwise((F.col("at_ms") + FAR * 1000).cast("string"))
+    log = fx.kvlog(spark, d).filter("cmd = 'PSETEX'").select("seq", "at_ms", F.lit(0).alias("db"), cmd.alias("cmd"), F.array("key", arg).cast("array<binary>").alias("args"))
+    return fold.keyspace(log).select(F.col("key").cast("string").alias("key"), "version", "expire_at_ms")
